@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup
+from palimpsest.llm import bpe, exact_dedup, line_dedup, mixing, topk, warc
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, warc, mixing, line_dedup, bpe, topk)
 
 
 def queries() -> dict:
