@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, exact_dedup, line_dedup, mixing, topk, warc
+from palimpsest.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, secrets, substring_dedup, topk, toxicity, warc
 
-MODULES = (exact_dedup, warc, mixing, line_dedup, bpe, topk)
+MODULES = (toxicity, mixing, substring_dedup, bpe, line_dedup, secrets, near_dedup, topk, exact_dedup, warc)
 
 
 def queries() -> dict:
