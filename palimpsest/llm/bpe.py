@@ -204,7 +204,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
             for doc in docs:
                 tokens = hashlib.sha256(",".join(map(digits.__getitem__, doc)).encode()).hexdigest()
                 decoded = hashlib.sha256(b"".join(map(plain.__getitem__, doc))).hexdigest()
-                out.append((sum(len(ids[s]) for s in doc), tokens, decoded, [t for s in doc for t in ids[s]] if with_ids else None))
+                out.append((sum(len(ids[s]) for s in doc), tokens, decoded, np.array([t for s in doc for t in ids[s]], dtype=np.int32) if with_ids else None))
             frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             frame.insert(0, "id", rows["id"])
             for start in range(0, len(frame), 2000):
