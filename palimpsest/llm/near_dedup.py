@@ -123,12 +123,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if their sets of shingles have a Jaccard similarity of similarity[0] / similarity[1] or
     more; classes are the connected components of the links. Shingles are ``size`` words as they stand, a shorter text is
     one shingle; texts without words (null, empty, blank) are alike and make one class. Shingles weigh 1 + ln(times) in
-    the signature. Rows that share an id are one document. A null id is replaced by a hash of the text, as node and as
-    class_id; kept is then true for the class's smallest node. Other columns are not read. An empty table gives an
+    the signature. Rows that share an id are one document. A null id is replaced by 2 ** 62 or more, from a hash of the
+    text, as node and as class_id; kept is then true for the class's smallest node. Other columns are not read. An empty table gives an
     empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"), F.col(id_col).isNotNull().alias("named"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))).alias("id"), text.alias("text"), F.col(id_col).isNotNull().alias("named"))
     signed = docs.mapInPandas(_signatures(bands, rows, size, chars), "id long, named boolean, n int, k1 long, k2 long, bands array<long>")
     signed = stash(signed, "signatures")
     same = ["k1", "k2", "n"]
