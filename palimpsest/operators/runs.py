@@ -58,7 +58,8 @@ def run_name(column: str = "table_id") -> Column:
 
 def overlap(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Column:
     """Whether two key ranges meet; an unknown bound meets everything."""
-    return F.coalesce((a_min <= b_max) & (a_max >= b_min), F.lit(True))
+    unknown = a_min.isNull() | a_max.isNull() | b_min.isNull() | b_max.isNull()
+    return unknown | ((a_min <= b_max) & (a_max >= b_min))
 
 
 def overlapping(stats: DataFrame) -> DataFrame:

@@ -92,3 +92,26 @@ def test_faults(spark):
     assert late.agg(F.min("delay_ms"), F.max("delay_ms")).first()[0] >= 5
     results = spark.createDataFrame([("a", True), ("b", False)], "scenario string, passed boolean")
     assert "1 of 2 passed (50 %)" in faults.report(results)
+
+
+def test_terms_timeouts_and_levels(spark):
+    seen_terms = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2)], "node_id string, term long")
+    assert {r["node_id"]: r["term"] for r in replog.observed_terms(seen_terms).collect()} == {"a": 4, "b": 2}
+    waits = [r["timeout_ms"] for r in replog.election_timeouts(seen_terms).collect()]
+    assert all(150 <= w <= 300 for w in waits) and waits == [r["timeout_ms"] for r in replog.election_timeouts(seen_terms).collect()]
+    manifest = spark.createDataFrame([(1, 0), (2, 1)], "table_id long, level int")
+    assert compact.is_bottom(manifest, 1) and not compact.is_bottom(manifest, 0)
+
+
+def test_ranges_and_guards(spark):
+    df = spark.createDataFrame([("a", "m", "n", "z"), (None, "m", "n", "z"), ("a", "b", "c", "d")], "a string, b string, c string, d string")
+    assert [r[0] for r in df.select(runs.overlap(*map(F.col, "abcd"))).collect()] == [False, True, False]
+    one = spark.range(1)
+    assert one.select(metrics.ratio(F.lit(5.0), F.lit(0.0)), metrics.success_rate(F.lit(0), F.lit(0)), metrics.merge_throughput(F.lit(1 << 20), F.lit(0))).first()[:] == (1.0, 100.0, 0.0)
+
+
+def test_empty_logs(spark):
+    none = log(spark, [])
+    assert resolve.history(none).count() == runs.run_stats(none.withColumn("table_id", F.lit(0))).count() == 0
+    assert compact.compacted(none, target=5, bottom=True).count() == 0
+    assert runs.interval_lookup(spark.createDataFrame([("k",)], "key string"), runs.run_stats(none.withColumn("table_id", F.lit(0)))).count() == 0
