@@ -77,3 +77,23 @@ def test_stream_into_store(spark, tmp_path):
     q = running_state(stream).writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT * FROM state WHERE value_type <> 4").count() == len(want)
+
+
+def test_streaming_flush_boundaries_agree_with_the_batch_fold(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators.runs import flush_boundaries as batch
+    from palimpsest.schema import MUTATION
+    from palimpsest.streaming.ingest import flush_boundaries
+
+    rng = random.Random(8)
+    rows = [(f"k{rng.randrange(9)}", i, 0, 4 if rng.random() < 0.3 else 1, 1, None, None) for i in range(60)]
+    log = spark.createDataFrame(rows, MUTATION).withColumn("shard", F.lit(0))
+    source = str(tmp_path / "in")
+    for lo in (0, 25, 40):  # three micro-batches
+        log.filter(F.col("seq").between(lo, {0: 24, 25: 39, 40: 59}[lo])).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = flush_boundaries(stream, 4).writeStream.format("memory").queryName("bounds").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {r["seq"]: r["table_id"] for r in batch(log, 4, "shard").collect()}
+    assert {r["seq"]: r["table_id"] for r in spark.sql("SELECT * FROM bounds").collect()} == want and max(want.values()) > 2
