@@ -81,7 +81,9 @@ def sequences(raw: bytes, starts: np.ndarray, ends: np.ndarray, marked: np.ndarr
 def shape(word: str) -> str:
     """Classes of the characters, runs drawn together: Ab12-x is Aa0-a."""
     out = ""
-    for c in word[:64]:
+    for c in word:
+        if len(out) > 10:
+            break
         k = "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c if c.isascii() else "u"
         if not out.endswith(k):
             out += k
@@ -239,7 +241,8 @@ def find(text: str, field: Field) -> list[tuple[int, int, str]]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 6000, most_sequences: int = 20_000, seed: int = 6) -> Field:
-    """Train on at most most_docs documents, drawn by a hash of their id, and most_sequences of their sequences.
+    """Train on at most most_docs documents, drawn by a hash of their id, and most_sequences of their sequences,
+    of each of which the first 40 words count.
 
     Null texts and ids are left out. Without any base span the field tags everything as outside.
     """

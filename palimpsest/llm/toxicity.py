@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows that are held out (crc32 of the id modulo 3 is 1), labels that are null and ids without a document are left out;
     an id labelled twice counts as toxic if one label says so. Null texts count as empty. Without labelled documents,
     or with one class only, the model is a constant. n_features: how many features, those that most set the toxic rows
-    of the sample apart, the model has. Features are counted by aggregation; the driver holds the sample's rows as
+    of the sample apart, the model has. Of a sampled text, its first 8 counterfactual pairs count. Features are counted by aggregation; the driver holds the sample's rows as
     numbers of such features only.
     """
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
