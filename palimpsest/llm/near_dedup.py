@@ -5,8 +5,9 @@ weight; each arrival lands in a random register, a register keeps its earliest a
 its next arrival comes after all registers' earliest. Two documents agree in a register with the probability that is
 their probability Jaccard similarity. Bands of registers make buckets, and candidates are verified on their shingles.
 
-A bucket is never expanded into its pairs: its members meet the smallest member of each class found so far, in rounds,
-until every class of the bucket has been met. Documents with the same shingles are one node from the start.
+A bucket is never expanded into its pairs: its members meet one member of each class found so far, in rounds, until
+every class of the bucket has been met. Documents with the same shingles are one node from the start. A pair only
+becomes a candidate if the odd sketches of its sets could belong to similar sets; that bound never errs.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import range_hashes, scramble, window_hashes, word_hashes
 from palimpsest.scratch import drop_stash, stash
 
 SHINGLE = 5
-BANDS, ROWS = 16, 4
+#: Bands and registers of a band: at similarity 0.8 a pair shares no band with probability 2e-4, at 0.2 it shares one with 7e-3.
+BANDS, ROWS = 22, 5
+#: Words of 64 bits of an odd sketch.
+SKETCH = 16
 _SHINGLE = np.uint64(0x8EBC6AF09C88C6E3)
-_STEP, _REGISTER, _BAND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_STEP, _REGISTER, _BAND, _BIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -42,15 +46,20 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_d
     time, latest = np.zeros(len(elements)), np.full(n_docs, np.inf)
     turn = 0
     while len(elements):
-        turn = (turn + int(_STEP)) % 2**64
-        random = scramble(elements ^ np.uint64(turn))
-        time = time - np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights
-        slot = doc * registers + (scramble(random ^ _REGISTER) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(earliest, slot, time)
-        won = time == earliest[slot]
-        winner[slot[won]] = elements[won]
+        # the arrivals of a few processes are drawn many at a time; those after the end of a process can't be earliest
+        ahead = 1 if len(elements) > 4096 else 32
+        turns = np.arange(turn + 1, turn + ahead + 1, dtype=np.uint64) * _STEP
+        turn += ahead
+        random = scramble(elements[:, None] ^ turns[None, :])
+        wait = -np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[:, None]
+        times = time[:, None] + np.cumsum(wait, axis=1)
+        slot = (doc * registers)[:, None] + (scramble(random ^ _REGISTER) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(earliest, slot.ravel(), times.ravel())
+        won, at = np.nonzero(times == earliest[slot])
+        winner[slot[won, at]] = elements[won]
         live = np.unique(doc)
         latest[live] = earliest.reshape(n_docs, registers)[live].max(axis=1)
+        time = times[:, -1]
         goes_on = time < latest[doc]
         elements, weights, doc, time = elements[goes_on], weights[goes_on], doc[goes_on], time[goes_on]
     return winner.reshape(n_docs, registers)
@@ -62,7 +71,7 @@ def _signatures(bands: int, rows: int, size: int, chars: int):
         for batch in batches:
             for row in zip(batch["id"].tolist(), batch["text"], batch["named"].tolist(), strict=True):
                 held.append(row)
-                length += len(row[1])
+                length += len(row[1]) + 2000  # a document's registers take memory, too
                 if length >= chars:
                     yield emit(held)
                     held, length = [], 0
@@ -75,32 +84,40 @@ def _signatures(bands: int, rows: int, size: int, chars: int):
         out = pd.DataFrame({"id": [row[0] for row in held], "named": [row[2] for row in held], "n": np.array([len(s) for s, _ in sets], dtype=np.int32)})
         out["k1"] = [int(scramble(s).sum(dtype=np.uint64).view(np.int64)) for s, _ in sets]
         out["k2"] = [int(scramble(s ^ _BAND).sum(dtype=np.uint64).view(np.int64)) for s, _ in sets]
-        out["bands"] = None
+        out["bands"], out["sketch"] = None, None
         if full:
-            doc = np.repeat(np.arange(len(full)), [len(sets[k][0]) for k in full])
+            doc, every = np.repeat(np.arange(len(full)), [len(sets[k][0]) for k in full]), np.concatenate([sets[k][0] for k in full])
+            bit, sketch = scramble(every ^ _BIT) % np.uint64(64 * SKETCH), np.zeros((len(full), SKETCH), dtype=np.uint64)
+            np.bitwise_xor.at(sketch, (doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
             weights = 1 + np.log(np.concatenate([sets[k][1] for k in full]))
-            found = prob_minhash(np.concatenate([sets[k][0] for k in full]), weights, doc, len(full), bands * rows).reshape(len(full), bands, rows)
+            found = prob_minhash(every, weights, doc, len(full), bands * rows).reshape(len(full), bands, rows)
             keys = np.arange(bands, dtype=np.uint64)[None, :] * _STEP
             for r in range(rows):
                 keys = scramble(keys ^ found[:, :, r]) * _BAND + _STEP
             keys = keys.view(np.int64)
-            column = out["bands"].to_numpy()
-            for k, row in zip(full, keys, strict=True):
-                column[k] = row
-            out["bands"] = column
-        return out[["id", "named", "n", "k1", "k2", "bands"]]
+            for name, values in (("bands", keys), ("sketch", sketch.view(np.int64))):
+                column = np.full(len(held), None, dtype=object)
+                for k, row in zip(full, values, strict=True):
+                    column[k] = row
+                out[name] = column
+        return out[["id", "named", "n", "k1", "k2", "bands", "sketch"]]
 
     return run
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, class of every node of the edges (a, b): the smallest node of its connected component.
 
     Large-star and small-star steps by turns, each written to the shared folder, until the edges are stars.
     """
     edges = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -108,13 +125,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = stash(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
         new = stash(small.distinct(), "small-star")
-        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first())
         for old in (edges, least, large, low):
             drop_stash(old)
         edges = new
-        if now == before or now[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
-        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = (4, 5), bands: int = BANDS, rows: int = ROWS, chars: int = 4_000_000) -> DataFrame:
@@ -129,38 +143,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))).alias("id"), text.alias("text"), F.col(id_col).isNotNull().alias("named"))
-    signed = docs.mapInPandas(_signatures(bands, rows, size, chars), "id long, named boolean, n int, k1 long, k2 long, bands array<long>")
+    signed = docs.mapInPandas(_signatures(bands, rows, size, chars), "id long, named boolean, n int, k1 long, k2 long, bands array<long>, sketch array<long>")
     signed = stash(signed, "signatures")
     same = ["k1", "k2", "n"]
-    nodes = stash(signed.groupBy(*same).agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")), "nodes")
+    best = F.min_by(F.struct("bands", "sketch"), "id").alias("of")
+    nodes = stash(signed.groupBy(*same).agg(F.min("id").alias("node"), best).select(*same, "node", "of.*"), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).filter("m > 1")
-    # a bucket whose sizes all lie too far apart has no links, but telling that apart is left to the pairs
-    members = stash(members.join(shared.select("bucket"), "bucket", "left_semi"), "members")
-    wanted = members.select(F.col("node").alias("id")).distinct()
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = stash(members.join(shared, "bucket"), "members")
+    # a text that others were made from shares most buckets with most of them: such nodes are met first
+    crowd = members.groupBy("node").agg(F.sum("m").alias("crowd"))
+    members = stash(members.select("node", "n", "bucket").join(crowd, "node"), "crowded")
+    sketches = nodes.select("node", "sketch")
+    wanted = stash(members.select(F.col("node").alias("id")).distinct(), "wanted")
     of_text = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingles(t, size)).view(np.int64)), "array<long>")
     sets = docs.select("id", "text").join(wanted.hint("shuffle_hash"), "id", "left_semi").select(F.col("id").alias("node"), of_text("text").alias("s"))
     sets = stash(sets, "shingles")
 
-    links, classes, tested, hubs = None, members.select("node", F.col("node").alias("class")).distinct(), None, 1
+    links, classes, tested, hubs = None, wanted.select(F.col("id").alias("node"), F.col("id").alias("class")), None, 1
     up, down = similarity
     while True:
-        placed = stash(members.join(classes, "node"), "placed")
-        heads = placed.groupBy("bucket", "class").agg(F.min_by(F.struct("node", "n"), "node").alias("h"))
-        heads = heads.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.struct("class", "h"))), 1, hubs).alias("heads"), F.count(F.lit(1)).alias("classes"))
-        heads = stash(heads.filter("classes > 1").select("bucket", "heads", (F.col("classes") <= hubs).alias("all")), "heads")
-        met = placed.join(heads, "bucket").select("node", "n", "class", F.explode("heads").alias("head"))
-        fits = F.least(F.col("n"), F.col("head.h.n")) * down >= F.greatest(F.col("n"), F.col("head.h.n")) * up
-        pairs = met.filter((F.col("class") != F.col("head.class")) & fits)
-        pairs = pairs.select(F.greatest("node", "head.h.node").alias("a"), F.least("node", "head.h.node").alias("b")).distinct()
+        heads = members.join(classes, "node").groupBy("bucket", "class").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "n")).alias("h"))
+        bucket = Window.partitionBy("bucket")
+        heads = heads.withColumns({"classes": F.count(F.lit(1)).over(bucket), "place": F.row_number().over(bucket.orderBy(F.desc("h")))})
+        heads = heads.filter(f"classes > 1 and place <= {hubs}").select("bucket", "classes", F.col("class").alias("its"), (-F.col("h.first")).alias("head"), F.col("h.n").alias("size"))
+        heads = stash(heads.join(sketches.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head"), "heads")
+        # a bucket that is down to one class has no more to tell
+        members = stash(members.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "members")
+        placed = members.join(classes, "node").join(sketches, "node")
+        fits = F.least("n", "size") * down >= F.greatest("n", "size") * up
+        # shingles in one set only turn a bit each, so two sketches never differ in more bits than the sets in shingles
+        apart = sum(F.bit_count(F.get("sketch", F.lit(w)).bitwiseXOR(F.get("other", F.lit(w)))) for w in range(SKETCH))
+        near = apart * (up + down) <= (F.col("n") + F.col("size")) * (down - up)
+        met = placed.join(heads, (placed["bucket"] == heads["bucket"]) & (F.col("class") != F.col("its")) & fits & near)
+        pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
-        complete = heads.filter("not all").isEmpty()
+        complete = heads.filter(f"classes > {hubs}").isEmpty()
         if pairs.isEmpty():
             if complete:
                 break
-            hubs *= 4
+            hubs *= 8
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         left = sets.join(pairs.withColumnRenamed("a", "node").hint("shuffle_hash"), "node").select(F.col("node").alias("a"), "b", F.col("s").alias("sa"))
@@ -170,12 +194,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             found = components(links)
-            classes = members.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+            classes = wanted.withColumnRenamed("id", "node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
             classes = stash(classes, "classes")
             links = classes.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
         elif complete:
             break
-        hubs *= 4
+        hubs *= 8
     known = stash(nodes.join(classes, "node", "left").select(*same, F.coalesce("class", "node").alias("class_id")), "known")
     out = signed.join(known.hint("shuffle_hash"), same)
     kept = F.col("id") == F.col("class_id")
