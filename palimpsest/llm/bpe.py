@@ -146,7 +146,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, most: int = 400_000):
         self.vocab, self.most = vocab, most
         self.number: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[array] = []
         self.digits: list[str] = []
 
     def chunk(self, texts: list[str]) -> list[array]:
@@ -161,7 +161,7 @@ class Encoder:
         parts = [[words.setdefault(m.encode(), len(words)) for m in self.vocab.pattern.findall(s)] for s in fresh]
         encoded = self.vocab.encode_words(list(words))
         for part in parts:
-            ids = [i for w in part for i in encoded[w]]
+            ids = array("i", [i for w in part for i in encoded[w]])
             self.ids.append(ids)
             self.digits.append(",".join(map(str, ids)))
         return docs
@@ -197,18 +197,20 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
         vocab = vocabulary(vocab_path)
         encoder = Encoder(vocab)
         for rows in _chunks(batches, "text", chunk_chars):
-            out = []
-            docs = encoder.chunk(rows["text"].tolist())
+            number, docs = rows["id"], encoder.chunk(rows["text"].tolist())
+            del rows
             ids, digits = encoder.ids, encoder.digits
             plain = [b"".join(map(vocab.bytes.__getitem__, x)) for x in ids]
-            for doc in docs:
-                tokens = hashlib.sha256(",".join(map(digits.__getitem__, doc)).encode()).hexdigest()
-                decoded = hashlib.sha256(b"".join(map(plain.__getitem__, doc))).hexdigest()
-                out.append((sum(len(ids[s]) for s in doc), tokens, decoded, np.array([t for s in doc for t in ids[s]], dtype=np.int32) if with_ids else None))
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            frame.insert(0, "id", rows["id"])
-            for start in range(0, len(frame), 2000):
-                yield frame.iloc[start : start + 2000][["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]]
+            for start in range(0, len(docs), 500):
+                out = []
+                for doc in docs[start : start + 500]:
+                    tokens = hashlib.sha256(",".join(map(digits.__getitem__, doc)).encode()).hexdigest()
+                    decoded = hashlib.sha256(b"".join(map(plain.__getitem__, doc))).hexdigest()
+                    own = np.frombuffer(b"".join([ids[s] for s in doc]), dtype=np.int32) if with_ids else None
+                    out.append((sum(len(ids[s]) for s in doc), tokens, decoded, own))
+                frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                frame.insert(0, "id", number.iloc[start : start + 500].to_numpy())
+                yield frame if with_ids else frame.drop(columns="ids")
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.mapInPandas(run, schema).withColumnRenamed("id", id_col)

@@ -62,7 +62,7 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def scorer(self, most_words: int = 500_000):
+    def scorer(self, most_words: int = 100_000):
         known: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> float:
