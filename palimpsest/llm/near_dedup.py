@@ -6,8 +6,10 @@ its next arrival comes after all registers' earliest. Two documents agree in a r
 their probability Jaccard similarity. Bands of registers make buckets, and candidates are verified on their shingles.
 
 A bucket is never expanded into its pairs: its members meet one member of each class found so far, in rounds, until
-every class of the bucket has been met. Documents with the same shingles are one node from the start. A pair only
-becomes a candidate if the odd sketches of its sets could belong to similar sets; that bound never errs.
+every class of the bucket has been met. Then all pairs of a bucket that are still in different classes meet, in blocks,
+so that no link between nodes that were never a class's head is lost. Documents with the same shingles are one node from
+the start. A pair only becomes a candidate if the odd sketches of its sets could belong to similar sets; that bound never
+errs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 22, 5
 #: Words of 64 bits of an odd sketch.
 SKETCH = 16
+#: Members of a bucket in one block, when the pairs that are left are met.
+BLOCK = 256
 _SHINGLE = np.uint64(0x8EBC6AF09C88C6E3)
 _STEP, _REGISTER, _BAND, _BIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -131,6 +135,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
 
 
+def _far_pairs(members: DataFrame, classes: DataFrame, sketches: DataFrame, could_link) -> DataFrame:
+    """a, b: the pairs of members of a bucket that are in different classes and could be linked.
+
+    The members outside a bucket's largest class meet all its members. Both sides are dealt into blocks of about BLOCK
+    members, and each pair of blocks is a key of the join, so that a large bucket is shared out.
+    """
+    placed = members.join(classes, "node").select("bucket", "class", "node", "n")
+    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("bucket", F.col("most.class").alias("largest"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.m")).alias("of_few"))
+    placed = stash(placed.join(sizes, "bucket").join(sketches, "node"), "left-over")
+    own = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = placed.filter("class <> largest").select("bucket", "node", "n", "class", "sketch", own(F.col("of_few")).alias("one"), every(F.col("of_all")).alias("two"))
+    rest = placed.select("bucket", every(F.col("of_few")).alias("one"), own(F.col("of_all")).alias("two"), F.col("node").alias("head"), F.col("n").alias("size"), F.col("class").alias("its"), F.col("sketch").alias("other"))
+    met = few.join(rest.hint("shuffle_hash"), ["bucket", "one", "two"]).filter((F.col("class") != F.col("its")) & could_link)
+    return met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = (4, 5), bands: int = BANDS, rows: int = ROWS, chars: int = 4_000_000) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), kept (id = class_id) and n_shingles.
 
@@ -162,6 +186,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links, classes, tested, hubs = None, wanted.select(F.col("id").alias("node"), F.col("id").alias("class")), None, 1
     up, down = similarity
+    fits = F.least("n", "size") * down >= F.greatest("n", "size") * up
+    # shingles in one set only turn a bit each, so two sketches never differ in more bits than the sets in shingles
+    apart = sum(F.bit_count(F.get("sketch", F.lit(w)).bitwiseXOR(F.get("other", F.lit(w)))) for w in range(SKETCH))
+    near = apart * (up + down) <= (F.col("n") + F.col("size")) * (down - up)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar enough."""
+        left = sets.join(pairs.withColumnRenamed("a", "node").hint("shuffle_hash"), "node").select(F.col("node").alias("a"), "b", F.col("s").alias("sa"))
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("shuffle_hash"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return stash(both.filter(common * (up + down) >= (F.size("sa") + F.size("sb")) * up).select("a", "b"), "links")
+
+    def joined(links: DataFrame) -> DataFrame:
+        found = components(links)
+        return stash(wanted.withColumnRenamed("id", "node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "classes")
+
     while True:
         heads = members.join(classes, "node").groupBy("bucket", "class").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "n")).alias("h"))
         bucket = Window.partitionBy("bucket")
@@ -171,10 +211,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # a bucket that is down to one class has no more to tell
         members = stash(members.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "members")
         placed = members.join(classes, "node").join(sketches, "node")
-        fits = F.least("n", "size") * down >= F.greatest("n", "size") * up
-        # shingles in one set only turn a bit each, so two sketches never differ in more bits than the sets in shingles
-        apart = sum(F.bit_count(F.get("sketch", F.lit(w)).bitwiseXOR(F.get("other", F.lit(w)))) for w in range(SKETCH))
-        near = apart * (up + down) <= (F.col("n") + F.col("size")) * (down - up)
         met = placed.join(heads, (placed["bucket"] == heads["bucket"]) & (F.col("class") != F.col("its")) & fits & near)
         pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         if tested is not None:
@@ -187,19 +223,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             hubs *= 8
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        left = sets.join(pairs.withColumnRenamed("a", "node").hint("shuffle_hash"), "node").select(F.col("node").alias("a"), "b", F.col("s").alias("sa"))
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("shuffle_hash"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        good = stash(both.filter(common * (up + down) >= (F.size("sa") + F.size("sb")) * up).select("a", "b"), "links")
+        good = linked(pairs)
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
-            found = components(links)
-            classes = wanted.withColumnRenamed("id", "node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
-            classes = stash(classes, "classes")
+            classes = joined(links)
             links = classes.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
         elif complete:
             break
         hubs *= 8
+    # what is left of a bucket: pairs of different classes of which neither node was a head there
+    pairs = _far_pairs(members, classes, sketches, fits & near)
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = stash(pairs, "pairs")
+    if not pairs.isEmpty():
+        good = linked(pairs)
+        if not good.isEmpty():
+            classes = joined(good if links is None else links.unionByName(good))
     known = stash(nodes.join(classes, "node", "left").select(*same, F.coalesce("class", "node").alias("class_id")), "known")
     out = signed.join(known.hint("shuffle_hash"), same)
     kept = F.col("id") == F.col("class_id")

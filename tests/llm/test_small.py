@@ -319,6 +319,32 @@ def test_near_dedup(spark):
     assert all(r["kept"] == (i == r["class_id"]) for i, r in got.items())
 
 
+def test_near_dedup_links_nodes_that_are_never_heads(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16, raising=False)  # several blocks a bucket
+    # two versions under the threshold and 40 light edits of each; only one edit of either links them, and for this seed
+    # a member more shared stands for its class in every bucket the two have in common
+    rng = random.Random(33)
+    one = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+    at = sorted(rng.sample(range(1, 40), 11))
+    two = list(one)
+    for k in at:
+        two[10 * k] = f"b{k}"
+    near_one, near_two = list(one), list(two)
+    for k in at[:2]:
+        near_one[10 * k] = two[10 * k]
+    near_two[10 * at[2]] = one[10 * at[2]]
+    texts = [one, two, near_one, near_two]
+    for base in (one, two):
+        for _ in range(40):
+            copy = list(base)
+            copy[rng.randrange(404)] = f"e{rng.randrange(10**6)}"
+            texts.append(copy)
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    want = brute_classes(rows)
+    assert set(want.values()) == {0} and len(set(brute_classes(rows[:2] + rows[4:]).values())) == 2
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_near_dedup_of_nothing_repeats_and_nulls(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
     rng = random.Random(10)
