@@ -5,6 +5,10 @@ weight; each arrival lands in a random register, a register keeps its earliest a
 its next arrival comes after all registers' earliest. Two documents agree in a register with the probability that is
 their probability Jaccard similarity. Bands of registers make buckets, and candidates are verified on their shingles.
 
+Links are verified on sets, and repeats can make the probability Jaccard of weighted sets far smaller than that of the
+sets themselves. So a document with repeated shingles has the bands of two signatures, one weighted and one with weight 1
+for every shingle, and the latter are what bounds the share of missed pairs. Without repeats both are the same.
+
 A bucket is never expanded into its pairs: its members meet one member of each class found so far, in rounds, until
 every class of the bucket has been met. Then all pairs of a bucket that are still in different classes meet, in blocks,
 so that no link between nodes that were never a class's head is lost. Documents with the same shingles are one node from
@@ -25,7 +29,8 @@ from palimpsest.llm.hashing import range_hashes, scramble, window_hashes, word_h
 from palimpsest.scratch import drop_stash, stash
 
 SHINGLE = 5
-#: Bands and registers of a band: at similarity 0.8 a pair shares no band with probability 2e-4, at 0.2 it shares one with 7e-3.
+#: Bands and registers of a band: a pair whose sets have similarity 0.8 shares no band with probability 2e-4; sets of 0.2 share
+#: one with 7e-3.
 BANDS, ROWS = 22, 5
 #: Words of 64 bits of an odd sketch.
 SKETCH = 16
@@ -82,6 +87,13 @@ def _signatures(bands: int, rows: int, size: int, chars: int):
         if held:
             yield emit(held)
 
+    def buckets(found: np.ndarray) -> np.ndarray:
+        found = found.reshape(len(found), bands, rows)
+        keys = np.arange(bands, dtype=np.uint64)[None, :] * _STEP
+        for r in range(rows):
+            keys = scramble(keys ^ found[:, :, r]) * _BAND + _STEP
+        return keys.view(np.int64)
+
     def emit(held: list) -> pd.DataFrame:
         sets = [np.unique(shingles(text, size), return_counts=True) for _, text, _ in held]
         full = [k for k, (s, _) in enumerate(sets) if len(s)]
@@ -93,12 +105,19 @@ def _signatures(bands: int, rows: int, size: int, chars: int):
             doc, every = np.repeat(np.arange(len(full)), [len(sets[k][0]) for k in full]), np.concatenate([sets[k][0] for k in full])
             bit, sketch = scramble(every ^ _BIT) % np.uint64(64 * SKETCH), np.zeros((len(full), SKETCH), dtype=np.uint64)
             np.bitwise_xor.at(sketch, (doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-            weights = 1 + np.log(np.concatenate([sets[k][1] for k in full]))
-            found = prob_minhash(every, weights, doc, len(full), bands * rows).reshape(len(full), bands, rows)
-            keys = np.arange(bands, dtype=np.uint64)[None, :] * _STEP
-            for r in range(rows):
-                keys = scramble(keys ^ found[:, :, r]) * _BAND + _STEP
-            keys = keys.view(np.int64)
+            times = np.concatenate([sets[k][1] for k in full])
+            found = prob_minhash(every, np.ones(len(every)), doc, len(full), bands * rows)
+            of_sets = buckets(found)
+            # where nothing is repeated, all weights are 1 and the weighted signature would be the same
+            repeats = np.flatnonzero(np.bincount(doc, times > 1, len(full)))
+            of_weights = {}
+            if len(repeats):
+                place = np.full(len(full), -1)
+                place[repeats] = np.arange(len(repeats))
+                some = place[doc] >= 0
+                found = prob_minhash(every[some], 1 + np.log(times[some]), place[doc[some]], len(repeats), bands * rows)
+                of_weights = dict(zip(repeats.tolist(), buckets(found), strict=True))
+            keys = [np.union1d(own, of_weights[k]) if k in of_weights else own for k, own in enumerate(of_sets)]
             for name, values in (("bands", keys), ("sketch", sketch.view(np.int64))):
                 column = np.full(len(held), None, dtype=object)
                 for k, row in zip(full, values, strict=True):
@@ -160,8 +179,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Two documents are linked if their sets of shingles have a Jaccard similarity of similarity[0] / similarity[1] or
     more; classes are the connected components of the links. Shingles are ``size`` words as they stand, a shorter text is
-    one shingle; texts without words (null, empty, blank) are alike and make one class. Shingles weigh 1 + ln(times) in
-    the signature. Rows that share an id are one document. A null id is replaced by 2 ** 62 or more, from a hash of the
+    one shingle; texts without words (null, empty, blank) are alike and make one class. Shingles weigh 1 in one signature
+    and 1 + ln(times) in the other, of ``bands`` bands each. Rows that share an id are one document. A null id is replaced by 2 ** 62 or more, from a hash of the
     text, as node and as class_id; kept is then true for the class's smallest node. Other columns are not read. An empty table gives an
     empty result.
     """

@@ -345,6 +345,20 @@ def test_near_dedup_links_nodes_that_are_never_heads(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_near_dedup_finds_copies_that_repeat_a_passage(spark):
+    # 25 pairs whose sets of shingles have similarity 0.8, one of each with its last 100 words 100 times
+    rng, rows = random.Random(34), []
+    for pair in range(25):
+        one = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(200)]
+        two = list(one)
+        for k in (10, 30, 50, 70):
+            two[k] = f"edit{k}"
+        rows += [(2 * pair, " ".join(one), "s"), (2 * pair + 1, " ".join(two + two[100:] * 99), "s")]
+    want = brute_classes(rows)
+    assert want == {i: i - i % 2 for i in range(50)}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_near_dedup_of_nothing_repeats_and_nulls(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
     rng = random.Random(10)
