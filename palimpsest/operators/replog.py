@@ -42,13 +42,19 @@ def commit_index(log: DataFrame, leader: str, committed: int = 0) -> DataFrame:
     return own.agg(F.coalesce(F.max(F.when(ok, F.col("index"))), F.lit(committed)).cast("bigint").alias("commit_index"))
 
 
-def applied(log: DataFrame, upto: int) -> DataFrame:
+def applied(log: DataFrame, upto: int | None = None) -> DataFrame:
     """Per node the live keys after its committed puts and deletes in index order; other commands do nothing."""
-    verbs = log.filter((F.col("index") <= upto) & F.upper("cmd").isin("PUT", "DELETE"))
+    verbs = log.filter(F.upper("cmd").isin("PUT", "DELETE") & (F.lit(True) if upto is None else F.col("index") <= upto))
     best = verbs.groupBy("node_id", "key").agg(F.max_by(F.struct("index", F.upper("cmd").alias("cmd"), "v_double"), "index").alias("v"))
     return best.filter("v.cmd = 'PUT'").select("node_id", "key", F.col("v.index").alias("index"), F.col("v.v_double").alias("v_double"))
 
 
+def applied_to_commit(log: DataFrame, leader: str) -> DataFrame:
+    """``applied`` up to the commit index that the log itself gives for this leader."""
+    upto = commit_index(log, leader)  # one row
+    return applied(log.join(F.broadcast(upto)).filter(F.col("index") <= F.col("commit_index")).drop("commit_index"))
+
+
 def consistency(state: DataFrame, nodes: list[str]) -> DataFrame:
     """key, n_values, consistent: whether all nodes hold the same value; a node without the key differs."""
     seen = state.groupBy("key").agg(F.countDistinct("v_double").alias("n_values"), F.countDistinct("node_id").alias("_nodes"))

@@ -38,6 +38,10 @@ CTES = {
         FROM ev, (VALUES ('n1', 0), ('n2', 40), ('n3', 700)) AS r(node_id, lag) WHERE seq <= (SELECT max(event_id) + 1 FROM events) - lag)""",
     "ap": """ap AS (SELECT node_id, key, index, v_double FROM (SELECT *, row_number() OVER (PARTITION BY node_id, key ORDER BY index DESC) AS rn
         FROM rl WHERE index <= 9000 AND upper(cmd) IN ('PUT', 'DELETE')) WHERE rn = 1 AND cmd = 'PUT')""",
+    "ci": """ci AS (SELECT coalesce(max(index), 0)::BIGINT AS commit_index FROM rl WHERE node_id = 'n1' AND term = (SELECT max(term) FROM rl WHERE node_id = 'n1')
+        AND index <= (SELECT max(index) FROM rl WHERE node_id = 'n2'))""",
+    "ac": """ac AS (SELECT node_id, key, index, v_double FROM (SELECT *, row_number() OVER (PARTITION BY node_id, key ORDER BY index DESC) AS rn
+        FROM rl WHERE index <= (SELECT commit_index FROM ci) AND upper(cmd) IN ('PUT', 'DELETE')) WHERE rn = 1 AND cmd = 'PUT')""",
     "tr": "tr AS (SELECT event_id AS msg_id, 'n' || (1 + event_id % 3) AS src, 'n' || (1 + (event_id + 1 + (event_id // 3) % 2) % 3) AS dst FROM events)",
     "blk": """blk AS (WITH RECURSIVE f AS (SELECT *, 20 + strlen(key) + strlen(p_name) AS size, row_number() OVER (ORDER BY key) AS rn FROM pr),
         s(rn, key, cut, inside, pos) AS (SELECT rn, key, true, CASE WHEN size >= 4096 THEN 0 ELSE size END, 0::BIGINT FROM f WHERE rn = 1
@@ -370,6 +374,24 @@ def repl_values_by_node(spark, d):
     return out.withColumn("value", F.when(F.col("value") == "OFFLINE", "OFFLINE").otherwise("ONLINE"))
 
 
+@query("SELECT node_id, key, index, v_double FROM ac", "ev", "rl", "ci", "ac")
+def repl_apply_committed(spark, d):
+    return replog.applied_to_commit(t.replicated_log(spark, d), "n1")
+
+
+@query("SELECT key, count(DISTINCT v_double) AS n_values, count(DISTINCT v_double) = 1 AND count(DISTINCT node_id) = 3 AS consistent FROM ac GROUP BY key", "ev", "rl", "ci", "ac")
+def repl_consistency_committed(spark, d):
+    return replog.consistency(replog.applied_to_commit(t.replicated_log(spark, d), "n1"), ["n1", "n2", "n3"])
+
+
+@query("""SELECT n.node_id, k.key, CASE WHEN v_double IS NULL THEN 'OFFLINE' ELSE 'ONLINE' END AS value FROM (SELECT DISTINCT key FROM ev) k, (VALUES ('n1'), ('n2'), ('n4')) n(node_id)
+    LEFT JOIN ac ON ac.key = k.key AND ac.node_id = n.node_id""", "ev", "rl", "ci", "ac")
+def repl_values_committed(spark, d):
+    state, keys = replog.applied_to_commit(t.replicated_log(spark, d), "n1"), t.events_log(spark, d).select("key")
+    out = replog.values_by_node(state, keys, ["n1", "n2", "n4"])
+    return out.withColumn("value", F.when(F.col("value") == "OFFLINE", "OFFLINE").otherwise("ONLINE"))
+
+
 _FORK = "CASE WHEN index >= 7000 THEN term + 1 ELSE term END"
 
 
@@ -492,6 +514,14 @@ def net_summary(spark, d):
     return faults.summary(t.table(spark, d, "events").filter("event_id < 9").select(F.col("event_id").alias("scenario"), (F.col("value") > 10).alias("passed")))
 
 
+@query("""SELECT count(*) FILTER (ok) AS passed, count(*) AS total, count(*) FILTER (ok) * 100.0::DOUBLE / count(*) AS percent, bool_and(ok) AS all_passed
+    FROM (SELECT user_id, coalesce(avg(value) > 50, false) AS ok FROM events GROUP BY user_id)""")
+def net_summary_by_user(spark, d):
+    """A scenario per user, over all events."""
+    passed = F.coalesce(F.avg("value") > 50, F.lit(False)).alias("passed")
+    return faults.summary(t.table(spark, d, "events").groupBy(F.col("user_id").alias("scenario")).agg(passed))
+
+
 @query("SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_no, l_extendedprice FROM lineitem")
 def kv_global_order(spark, d):
     line = t.table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -40,3 +40,13 @@ def test_entry(spark):
 def test_point_lookup_reaches_the_scan(spark):
     plan = QUERIES["kv_point_get"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,42)" in plan
+
+
+@pytest.mark.parametrize("name", ["repl_apply_committed", "repl_consistency_committed", "repl_values_committed", "net_summary_by_user"])
+def test_whole_log_where_it_is_longer_than_a_prefix(spark, name):
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLE[name]).df()
+    assert rows(got) == rows(want)
+    if name == "repl_apply_committed":
+        assert got["index"].max() > 90_000
