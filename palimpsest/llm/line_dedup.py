@@ -19,26 +19,27 @@ LG_K = 12
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """One row per line that isn't blank: id, line (its number from 0), h1, h2 (128 bits of its trimmed text), site."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.split(F.col(text_col), "\n").alias("all"))
-    lines = docs.select("id", "site", F.posexplode("all").alias("line", "raw")).withColumn("key", F.trim("raw")).filter("key <> ''")
+    """One row per line that isn't blank: id, tie (a hash of the whole text, which tells rows apart that share an id), line
+    (its number from 0), h1, h2 (128 bits of its trimmed text), site."""
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(site_col).alias("site"), F.split(F.col(text_col), "\n").alias("all"))
+    lines = docs.select("id", "tie", "site", F.posexplode("all").alias("line", "raw")).withColumn("key", F.trim("raw")).filter("key <> ''")
     site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit(""))
-    return lines.select("id", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(LG_K), F.reverse("key")).alias("h2"), site.alias("site"))
+    return lines.select("id", "tie", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(LG_K), F.reverse("key")).alias("h2"), site.alias("site"))
 
 
 def removed_lines(df: DataFrame, id_col: str, text_col: str, site_col: str, least_sites: int) -> DataFrame:
-    """One row per id that loses lines: id and gone, the numbers of those lines."""
+    """One row per id and tie that loses lines: id, tie and gone, the numbers of those lines."""
     lines = stash(lines_of(df, id_col, text_col, site_col), "lines")
     key, margin = ["h1", "h2"], 4 * 1.04 / 2 ** (LG_K / 2)
     near = (F.col("sites") >= least_sites * (1 - margin) - 1) & (F.col("sites") < least_sites * (1 + margin) + 1)
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "line")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "line", "tie")).alias("first")
     spread = lines.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), first)
     spread = stash(spread.filter(F.col("sites") >= least_sites * (1 - margin) - 1), "spread")
     exact = lines.join(spread.filter(near).select(*key), key, "left_semi").groupBy(*key, "site").agg(F.lit(1)).groupBy(*key).agg(F.count(F.lit(1)).alias("exact"))
     common = spread.filter(~near).select(*key, "first").unionByName(spread.join(exact.filter(F.col("exact") >= least_sites), key).select(*key, "first"))
     common = stash(common, "boilerplate")
-    hits = lines.join(common, key).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    return hits.groupBy("id").agg(F.collect_set("line").alias("gone"))
+    hits = lines.join(common, key).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")) & (F.col("tie") == F.col("first.tie"))))
+    return hits.groupBy("id", "tie").agg(F.collect_set("line").alias("gone"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
@@ -47,17 +48,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     A line is what stands between line feeds; it is compared without blanks around it, and blank lines stay. A line on
     least_sites or more distinct sites is boilerplate (null is a site of its own); the occurrence with the smallest id
     and line number stays, every other is removed. A document that loses all lines has an empty text. A null text stays
-    null with no lines, an empty text has one blank line. A null id comes last. Rows that share an id are told apart by
-    their line numbers only: what one of them loses, the others lose at the same place. Columns named n_lines or
-    n_removed are replaced, others pass through. An empty table gives an empty result.
+    null with no lines, an empty text has one blank line. A null id comes last. Rows that share an id, null too, are told
+    apart by their texts; those that repeat both are one document and keep or lose the same lines. Columns named n_lines
+    or n_removed are replaced, others pass through. An empty table gives an empty result.
     """
-    gone = removed_lines(df, id_col, text_col, site_col, least_sites).select(F.col("id").alias("__of"), F.col("gone").alias("__gone"))
-    out = df.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__of")), "left")
+    gone = removed_lines(df, id_col, text_col, site_col, least_sites).select(F.col("id").alias("__of"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
+    same = F.col(id_col).eqNullSafe(F.col("__of")) & (F.xxhash64(text_col) == F.col("__tie"))
+    out = df.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), same, "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("n_removed") > 0, left).otherwise(F.col(text_col))).drop("__of", "__gone")
+    return out.withColumn(text_col, F.when(F.col("n_removed") > 0, left).otherwise(F.col(text_col))).drop("__of", "__tie", "__gone")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

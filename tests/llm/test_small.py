@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact_dedup, hashing, line_dedup, mixing, near_dedup, secrets, substring_dedup, topk, toxicity, warc
+from palimpsest.llm import bpe, exact_dedup, hashing, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, gone string, keep string"
@@ -161,6 +161,13 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(i, f"boiler\nown {i}", f"s{i}") for i in range(12)]
+    rows += [(500, "boiler\nx", "s1"), (500, "precious\ny", "s2"), (None, "boiler\nq", "s3"), (None, "kept\nz", "s4"), (600, "boiler\ntwin", "s1"), (600, "boiler\ntwin", "s2"), (700, "boiler\n" + "long " * 50_000, "s1")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
+    assert got == [(False, 0, "boiler\nown 0", 0), *[(False, i, f"own {i}", 1) for i in range(1, 12)], (False, 500, "precious\ny", 0), (False, 500, "x", 1), (False, 600, "twin", 1), (False, 600, "twin", 1), (False, 700, "long " * 50_000, 1), (True, 0, "kept\nz", 0), (True, 0, "q", 1)]
+
+
 # mixing
 
 
@@ -425,41 +432,6 @@ def test_top_k_of_few(spark):
     assert sorted(tuple(r) for r in topk.exact_top_k(frame(rows)).collect()) == brute_top(rows)
 
 
-# secrets
-
-
-def test_base_spans_and_the_field(spark):
-    rng = random.Random(14)
-    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    lines = [lambda: f"password={hexes(14)}", lambda: f"API_KEY = '{hexes(20)}'", lambda: "secret: short", lambda: "AKIA" + "".join(rng.choice("ABCDEFGH2345") for _ in range(16)), lambda: "AKIASHORT", lambda: hexes(15) + " " + hexes(40), lambda: "tokens are fun", lambda: "ſecret=notthatkind1"]
-    rows = [(i, "\n".join(" ".join([*words(rng, 6), rng.choice(lines)(), "été", *words(rng, 3)]) for _ in range(4)), "s") for i in range(150)] + [(200, None, "s"), (201, "", "s"), (202, "password=" + "a" * 30_000, "s")]
-    field = secrets.train(docs(spark, rows))
-    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["secrets"]] for r in secrets.scan(docs(spark, rows), field).collect()}
-    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-    for i, t, _ in rows:
-        t = t or ""
-        want = [(m.start(), m.end(), "assign") for m in pattern.finditer(t) if len(m[2]) >= 12] + [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
-        want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
-        assert [s for s in got[i] if s[2] != "crf"] == secrets.in_order(want)
-        assert all(b <= c for (_, b, k), (c, _, m) in zip(got[i], got[i][1:], strict=False) if "crf" in (k, m))
-    # of unseen text, most words of base spans are found by the field alone
-    fresh = [" ".join([*words(rng, 6), f"password={hexes(14)}", *words(rng, 3)]) for _ in range(50)]
-    tags = [(want, field.decode(x)) for t in fresh for x, want in secrets.tagged(t)]
-    assert np.mean([a == b for want, seen in tags for a, b in zip(want, seen, strict=True) if a]) > 0.9
-    assert secrets.train(docs(spark, [])).decode([["1"], ["1"]]) == [0, 0] and secrets.scan(docs(spark, []), field).collect() == []
-
-
-def test_viterbi_is_the_best_path():
-    rng = np.random.default_rng(15)
-    field = secrets.Field({str(i): tuple(rng.normal(size=3)) for i in range(6)}, rng.normal(size=(3, 3)))
-    for _ in range(20):
-        features = [[str(rng.integers(6))] for _ in range(5)]
-        e = field.emissions(features)
-        total = lambda path: field.steps[0, path[0]] + sum(e[i, y] for i, y in enumerate(path)) + sum(field.steps[a, b] for a, b in zip(path, path[1:], strict=False))
-        every = [[(n // 3**k) % 3 for k in range(5)] for n in range(3**5)]
-        assert math.isclose(total(field.decode(features)), max(map(total, every)))
-
-
 # toxicity
 
 
