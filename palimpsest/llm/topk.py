@@ -19,6 +19,7 @@ from palimpsest.scratch import stash
 
 SCALE = 64
 EXACT = 2.0**53
+LONGEST = 2**63 - 1
 
 
 def _packed(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -59,13 +60,17 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray]:
     q, c = _grid(row, "q_"), _grid(row, "c_")
     dim = min(q.shape[1], c.shape[1])
     q, c = q[:, :dim], c[:, :dim]
-    if row.q_most * row.c_most * dim < EXACT:
-        scores = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    else:  # beyond what doubles hold: integers of any size; a score that no long holds raises OverflowError
-        scores = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c] for x in q], dtype=np.int64)
     ids = np.frombuffer(row.c_ids, dtype=np.int64)
     own = np.frombuffer(row.q_ids, dtype=np.int64)[:, None] == ids[None, :]
-    return np.where(own, np.iinfo(np.int64).min, scores), ids
+    if row.q_most * row.c_most * dim < EXACT:
+        return np.where(own, -LONGEST - 1, (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)), ids
+    # beyond what doubles hold: integers of any size
+    whole = lambda grid: np.array([[int(x) for x in v] for v in grid], dtype=object)
+    scores = whole(q) @ whole(c).T
+    scores[own] = -LONGEST - 1
+    if np.abs(scores[~own]).max(initial=0) > LONGEST:
+        raise OverflowError("a score is too large for a long")
+    return scores.astype(np.int64), ids
 
 
 def _over_pairs(queries: DataFrame, candidates: DataFrame, f: Callable, schema: str) -> DataFrame:
@@ -91,7 +96,8 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     Queries are the rows whose id is divisible by ``every``, candidates all rows but those with the query's own id. If
     there are fewer than k candidates all are returned, so a table of one row gives none. Vectors that are null or hold
     null or non-finite components, and rows without an id, take no part; a shorter vector counts as padded with zeros,
-    an empty one scores 0. Rows that repeat an id are candidates each, and queries each. Other columns are not read.
+    an empty one scores 0. Components may be of any size; a score that no long holds raises OverflowError. Rows that
+    repeat an id are candidates each, and queries each. Other columns are not read.
     """
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
@@ -99,7 +105,7 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     candidates = _packed(good, block_rows, "candidates")
     queries = _packed(good.filter(F.col("id") % every == 0), query_rows, "queries")
     most, dim = candidates.agg(F.max("most"), F.max("dim")).first()
-    high = int(most or 0) ** 2 * (dim or 0)
+    high = min(int(most or 0) ** 2 * (dim or 0), LONGEST)
 
     # state of a query: the ``span`` scores from lo on, in bins of ``width``, still hold ``need`` of its k highest
     span = 2 * high + 1
@@ -117,8 +123,11 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             scores, _ = _scores(row)
             lo = np.array([s["lo"] for s in row.q_state], dtype=np.int64)[:, None]
             live = np.array([s["open"] for s in row.q_state])[:, None]
-            inside = live & (scores >= lo) & (scores - lo < span)
-            bin_of = np.where(inside, (scores - lo) // width, -1)
+            above = scores >= lo
+            with np.errstate(over="ignore"):  # of 64 bits without sign, what a difference wraps round to is the difference
+                off = (scores - lo).view(np.uint64)
+            inside = live & above & (off <= np.uint64(span - 1)) & (scores > np.iinfo(np.int64).min)
+            bin_of = np.where(inside, (off // np.uint64(width)).astype(np.int64), -1)
             n = min(k, bin_of.shape[1])  # a block's bins below its own k-th score can't hold the k-th of all
             least = np.partition(bin_of, bin_of.shape[1] - n, axis=1)[:, bin_of.shape[1] - n][:, None]
             at, c = np.nonzero((bin_of >= least) & (bin_of >= 0))
@@ -130,10 +139,11 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         above = histogram.withColumn("upto", F.sum("n").over(down)).groupBy("block", "at").agg(F.collect_list(F.struct(F.col("upto"), F.col("bin"), F.col("n"))).alias("h"))
         joined = current.join(above, ["block", "at"], "left")
         hit = F.array_min(F.filter("h", lambda x: x["upto"] >= F.col("need")))
+        wide = lambda c: c.cast("decimal(20,0)")
         # fewer than need: the query has less than k candidates, and all of them are taken
         state = stash(
             joined.withColumn("hit", hit).select(
-                "block", "at", F.when(F.col("hit").isNotNull(), F.col("lo") + F.col("hit.bin") * width).otherwise(F.col("lo")).alias("lo"),
+                "block", "at", F.when(F.col("hit").isNotNull(), wide(F.col("lo")) + wide(F.col("hit.bin")) * F.lit(width).cast("decimal(20,0)")).otherwise(F.col("lo")).cast("long").alias("lo"),
                 F.when(F.col("hit").isNotNull(), F.col("need") - F.col("hit.upto") + F.col("hit.n")).otherwise(F.col("need")).alias("need"), F.col("hit").isNotNull().alias("open"),
             ),
             "topk-state",

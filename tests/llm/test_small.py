@@ -432,6 +432,18 @@ def test_top_k_of_few(spark):
     assert sorted(tuple(r) for r in topk.exact_top_k(frame(rows)).collect()) == brute_top(rows)
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = lambda rows: sorted((q, n + 1, i, s) for q, v in rows if q % 20 == 0 for n, (s, i) in enumerate(sorted(((sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q), key=lambda x: (-x[0], x[1]))[:20]))
+    rows = [(0, [1e8, 2.5]), (1, [1e7, -1.0]), (2, [-1e7, 3.0]), (3, [1.0, 1.0]), (20, [1.3e7, 1e7])] + [(100 + i, [float(i * 10**5), 0.5]) for i in range(30)]
+    assert sorted(tuple(r) for r in topk.exact_top_k(frame(rows)).collect()) == exact(rows)
+    with pytest.raises(Exception, match="OverflowError|too large"):
+        topk.exact_top_k(frame([(0, [1e9]), (1, [1e9])])).collect()
+    twice = [(0, [1.0]), (0, [2.0]), (1, [3.0]), (1, [3.0])]
+    got = sorted(tuple(r) for r in topk.exact_top_k(frame(twice)).collect())
+    assert got == sorted((0, n + 1, 1, 64 * 64 * 3 * x) for x in (1, 2) for n in range(2))
+
+
 # toxicity
 
 
