@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from palimpsest.schema import FLOAT, INTEGER, STRING, TOMBSTONE
 
@@ -92,15 +93,40 @@ def epoch32(seq: Column) -> Column:
     return seq.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def encode_frame(*columns: str) -> Column:
-    """The frame of a row, from its epoch, key, value_type, v_long, v_double and v_string columns."""
+def little_endian(x: Column, size: int) -> Column:
+    """The low ``size`` bytes of an integer, least first."""
+    digits = F.lpad(F.hex(x.cast("bigint")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(size))))
 
-    @F.pandas_udf("binary")
-    def of(epoch: pd.Series, key: pd.Series, tag: pd.Series, v_long: pd.Series, v_double: pd.Series, v_string: pd.Series) -> pd.Series:
-        picked = lambda t, a, b, c: int(a) if t == INTEGER else float(b) if t == FLOAT else c if t == STRING else None
-        return pd.Series([encode(int(e), k, picked(t, a, b, c)) for e, k, t, a, b, c in zip(epoch, key, tag, v_long, v_double, v_string, strict=True)])
 
-    return of(*columns)
+@F.pandas_udf(LongType())
+def double_bits(x: pd.Series) -> pd.Series:
+    """The bits of doubles as integers; null stays null."""
+    bits = pd.Series(x.to_numpy(dtype=np.float64).view(np.int64)).astype("Int64")
+    return bits.mask(x.isna().to_numpy())
+
+
+def frame_body(epoch, key, value_type, v_long, v_double, v_string) -> Column:
+    """What a frame's checksum covers: the header after it, key and value."""
+    col = lambda c: c if isinstance(c, Column) else F.col(c)
+    tag, key = col(value_type), F.encode(col(key), "UTF-8")
+    value = F.when(tag == INTEGER, little_endian(col(v_long), 8)).when(tag == FLOAT, little_endian(double_bits(col(v_double)), 8))
+    value = value.when(tag == STRING, F.encode(col(v_string), "UTF-8")).otherwise(F.unhex(F.lit("")))
+    head = [little_endian(epoch32(col(epoch)), 4), little_endian(F.octet_length(key), 4), little_endian(F.octet_length(value), 4), little_endian(F.lit(STRING), 2), little_endian(tag, 2)]
+    return F.concat(*head, key, value)
+
+
+def encode_frame(epoch, key, value_type, v_long, v_double, v_string) -> Column:
+    """The frame of a row, from its epoch, key and value columns. Built in the JVM, but for the bits of doubles."""
+    body = frame_body(epoch, key, value_type, v_long, v_double, v_string)
+    return F.concat(little_endian(F.crc32(body), 4), body)
+
+
+def is_intact(frame: Column) -> Column:
+    """Whether a frame's checksum is that of what follows it."""
+    digits = F.hex(F.substring(frame, 1, 4))
+    stored = F.conv(F.concat(*(F.substring(digits, 7 - 2 * k, 2) for k in range(4))), 16, 10).cast("bigint")
+    return F.crc32(F.substring(frame, 5, 2**31 - 1)) == stored
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:
@@ -119,12 +145,35 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur3_all(keys: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """murmur3_32 of every key with its own seed, by array operations over keys of about the same length."""
+    size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    out = seeds.astype(np.int64).astype(np.uint32)
+    c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+    turn = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    classes = np.ceil(np.log2(size + 1)).astype(int)
+    for c in np.unique(classes):
+        at = np.flatnonzero(classes == c)
+        n, wide = size[at], -(-int(size[at].max()) // 4) * 4 + 4
+        raw = np.frombuffer(b"".join(keys[i].ljust(wide, b"\0") for i in at.tolist()), dtype="<u4").reshape(len(at), -1)
+        h, whole = out[at], n // 4
+        for j in range(int(whole.max(initial=0)) + 1):
+            k = turn(raw[:, j] * c1, 15) * c2
+            h = np.where(j < whole, turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where((j == whole) & (n % 4 > 0), h ^ k, h))
+        h = h ^ n.astype(np.uint32)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[at] = h ^ h >> np.uint32(16)
+    return out.view(np.int32)
+
+
 def murmur3_pair(column: str) -> Column:
     """Two hashes of a key, the second seeded with the first."""
 
     @F.pandas_udf("array<int>")
     def of(keys: pd.Series) -> pd.Series:
-        first = [murmur3_32(k.encode()) for k in keys]
-        return pd.Series([[a, murmur3_32(k.encode(), a)] for a, k in zip(first, keys, strict=True)])
+        raw = [k.encode() for k in keys]
+        first = murmur3_all(raw, np.zeros(len(raw), dtype=np.int32))
+        return pd.Series(list(np.stack([first, murmur3_all(raw, first)], axis=1)))
 
     return of(column)

@@ -65,3 +65,16 @@ def merge_runs(runs: DataFrame, group: str) -> DataFrame:
     last = F.max_by("service_ms", F.when(F.col("service_ms") > 0, F.col("run_no")))
     out = runs.groupBy(group).agg(F.sum("n_ok").alias("n_ok"), F.sum("n_total").alias("n_total"), F.coalesce(last, F.lit(0.0)).alias("service_ms"))
     return out.withColumn("success_rate", success_rate(F.col("n_ok"), F.col("n_total")))
+
+
+def hit_ratio(hit: Column) -> Column:
+    """Share of hits, an aggregate; 0 where there was no access."""
+    return F.coalesce(F.avg(hit.cast("int")), F.lit(0.0))
+
+
+def benchmark_report(runs: DataFrame, group: str) -> str:
+    """A Markdown table of merged benchmark runs; groups are few."""
+    lines = [f"| {group} | successful | total | success rate | service recovery |", "|---|---|---|---|---|"]
+    for r in merge_runs(runs, group).orderBy(group).collect():
+        lines.append(f"| {r[group]} | {r['n_ok']} | {r['n_total']} | {r['success_rate']:.2f} % | {r['service_ms']:.2f} ms |")
+    return "\n".join(lines) + "\n"

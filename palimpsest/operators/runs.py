@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.codec import frame_size, murmur3_pair
 from palimpsest.operators.ordered import as_of, numbered
-from palimpsest.operators.resolve import newest
+from palimpsest.operators.resolve import MOST_BROADCAST, newest
 
 BLOCK_BYTES = 4096
 FALSE_POSITIVES = 0.01
@@ -26,22 +28,23 @@ def flush_boundaries(log: DataFrame, threshold: int, shard: str) -> DataFrame:
     """table_id by operation if a shard's buffer is frozen once it holds ``threshold`` live keys after an operation.
 
     Deletes shrink the number of live keys, so the boundary depends on all operations before it: a fold in order of
-    sequence, one shard's log at a time, with the keys of the open buffer as its state.
+    sequence over each shard's sorted rows. Its state is the keys of the open buffer, so a shard may be of any length.
     """
-    columns = log.columns
-
-    def fold(shard_log: pd.DataFrame) -> pd.DataFrame:
-        shard_log = shard_log.sort_values(["seq", "op_index"])
-        held, ids, table = set(), [], 0
-        for key, tag in zip(shard_log["key"], shard_log["value_type"], strict=True):
-            (held.discard if tag == 4 else held.add)(key)
-            ids.append(table)
-            if len(held) >= threshold:
-                held, table = set(), table + 1
-        return shard_log[columns].assign(table_id=ids)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, table = None, set(), 0
+        for rows in batches:
+            ids = []
+            for of, key, tag in zip(rows[shard], rows["key"], rows["value_type"], strict=True):
+                if of != now:
+                    now, held, table = of, set(), 0
+                (held.discard if tag == 4 else held.add)(key)
+                ids.append(table)
+                if len(held) >= threshold:
+                    held, table = set(), table + 1
+            yield rows.assign(table_id=ids)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
-    return log.groupBy(shard).applyInPandas(fold, f"{kinds}, table_id bigint")
+    return log.repartition(shard).sortWithinPartitions(shard, "seq", "op_index").mapInPandas(fold, f"{kinds}, table_id bigint")
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
@@ -77,32 +80,47 @@ def chunked(run: DataFrame, target: int) -> DataFrame:
 def interval_lookup(keys: DataFrame, stats: DataFrame) -> DataFrame:
     """key, table_id of the one run whose range holds the key, for disjoint runs; keys outside all ranges are left out.
 
-    Disjoint ranges make this an as-of lookup on the lower bound with a check of the upper one.
+    Disjoint ranges make this an as-of lookup on the lower bound with a check of the upper one. A manifest of up to
+    MOST_BROADCAST runs is sent to the tasks and searched there; a longer one meets the keys in a range shuffle.
     """
-    found = as_of(keys, stats, "key", "min_key", ["min_key", "max_key", "table_id"])
-    return found.filter(F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "table_id")
+    known = stats.select("min_key", "max_key", "table_id").limit(MOST_BROADCAST + 1).collect()  # bounded by the limit
+    if len(known) > MOST_BROADCAST:
+        found = as_of(keys, stats, "key", "min_key", ["min_key", "max_key", "table_id"])
+        return found.filter(F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "table_id")
+    known = sorted((r["min_key"], r["max_key"], r["table_id"]) for r in known)
+    firsts = [r[0] for r in known]
+
+    @F.pandas_udf("bigint")
+    def of(at: pd.Series) -> pd.Series:
+        places = [bisect.bisect_right(firsts, k) - 1 for k in at]
+        return pd.Series([known[p][2] if p >= 0 and k <= known[p][1] else None for k, p in zip(at, places, strict=True)], dtype="Int64")
+
+    return keys.filter("key is not null").select("key", of("key").alias("table_id")).filter("table_id is not null")
 
 
 def block_index(runs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """table_id, first_key, file_offset of every block: a block is closed once it holds block_bytes or more.
 
-    The running size starts anew with each block, so it is a fold over a run in key order; a run is as large as the
-    buffer it was flushed from, and runs are folded side by side.
+    The running size starts anew with each block, so it is a fold over a run's sorted rows; its state is three numbers,
+    so a run may be of any length, and runs are folded side by side.
     """
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("key")
-        out, offset, inside = [], 0, 0
-        for key, size in zip(run["key"], run["size"], strict=True):
-            if inside == 0:
-                out.append((int(run["table_id"].iloc[0]), key, offset))
-            inside, offset = inside + size, offset + size
-            if inside >= block_bytes:
-                inside = 0
-        return pd.DataFrame(out, columns=["table_id", "first_key", "file_offset"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, offset, inside = None, 0, 0
+        for rows in batches:
+            out = []
+            for run, key, size in zip(rows["table_id"], rows["key"], rows["size"], strict=True):
+                if run != now:
+                    now, offset, inside = run, 0, 0
+                if inside == 0:
+                    out.append((run, key, offset))
+                inside, offset = inside + size, offset + size
+                if inside >= block_bytes:
+                    inside = 0
+            yield pd.DataFrame(out, columns=["table_id", "first_key", "file_offset"])
 
-    sized = runs.select(F.col("table_id").cast("bigint").alias("table_id"), "key", frame_size().cast("bigint").alias("size"))
-    return sized.groupBy("table_id").applyInPandas(fold, "table_id bigint, first_key string, file_offset bigint")
+    sized = runs.select(F.col("table_id").cast("bigint").alias("table_id"), "key", frame_size().cast("bigint").alias("size"), "seq")
+    return sized.repartition("table_id").sortWithinPartitions("table_id", "key", F.desc("seq")).mapInPandas(fold, "table_id bigint, first_key string, file_offset bigint")
 
 
 def block_candidate(keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -139,20 +157,28 @@ def bloom_probe(keys: DataFrame, bloom: DataFrame, m: int, k: int) -> DataFrame:
 
 
 def lru_trace(accesses: DataFrame, capacity: int) -> DataFrame:
-    """hit for every access (cache_id, access_no, block) of caches that evict what was used longest ago."""
-
-    def play(trace: pd.DataFrame) -> pd.DataFrame:
-        trace, held, hits = trace.sort_values("access_no"), {}, []
-        for block in trace["block"]:
-            hits.append(block in held)
-            held.pop(block, None)
-            held[block] = True
-            if len(held) > capacity:
-                held.pop(next(iter(held)))
-        return trace[["cache_id", "access_no", "block"]].assign(hit=hits)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in accesses.select("cache_id", "access_no", "block").schema)
-    return accesses.groupBy("cache_id").applyInPandas(play, f"{kinds}, hit boolean")
+    """hit for every access (cache_id, access_no, block) of caches that evict what was used longest ago.
+
+    A cache is replayed over its sorted accesses; the state is its content, so a trace may be of any length.
+    """
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, {}
+        for trace in batches:
+            hits = []
+            for cache, block in zip(trace["cache_id"], trace["block"], strict=True):
+                if cache != now:
+                    now, held = cache, {}
+                hits.append(block in held)
+                held.pop(block, None)
+                held[block] = True
+                if len(held) > capacity:
+                    held.pop(next(iter(held)))
+            yield trace.assign(hit=hits)
+
+    traces = accesses.select("cache_id", "access_no", "block")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in traces.schema)
+    return traces.repartition("cache_id").sortWithinPartitions("cache_id", "access_no").mapInPandas(play, f"{kinds}, hit boolean")
 
 
 def sorted_versions(log: DataFrame) -> DataFrame:

@@ -75,3 +75,14 @@ def replicated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("last"))
     replicas = spark.createDataFrame(list(REPLICAS), "node_id string, lag bigint")
     return log.crossJoin(F.broadcast(replicas.crossJoin(last))).filter("index <= last - lag").drop("lag", "last")
+
+
+def last_index(spark: SparkSession, sf_dir: str) -> int:
+    """The last index of the replicated log."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1
+
+
+def forked_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replicated log, with a suffix of an older term on n2: the last fifth of the log, which the leader n1 replaced."""
+    fork = last_index(spark, sf_dir) * 4 // 5
+    return replicated_log(spark, sf_dir).withColumn("term", F.when((F.col("node_id") == "n2") & (F.col("index") > fork), F.col("term") - 1).otherwise(F.col("term")))

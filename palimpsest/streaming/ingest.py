@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +15,17 @@ from palimpsest.operators.store import KVStore
 
 
 def into_store(stream: DataFrame, store: KVStore, checkpoint: str) -> StreamingQuery:
-    """Commit every micro-batch as one batch of the store; a batch that is run again after a failure is skipped."""
+    """Commit every micro-batch as one batch of the store; a batch that is run again after a failure is skipped.
 
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        store.write(batch, batch_id=f"stream-{batch_id}")
+    Batches are told apart by the query's id, which its checkpoint keeps over restarts, and their number. So several
+    streams can go into one store, and one that begins anew with another checkpoint is a stream of its own.
+    """
+    named: list[str] = []
+
+    def commit(batch: DataFrame, number: int) -> None:
+        if not named:
+            named.append(json.loads(batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0])["id"])
+        store.write(batch, stream=named[0], number=number)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -75,12 +75,53 @@ def test_order_statistics_of_small_groups(spark):
 
 def test_reconcile(spark):
     entry = lambda rows: spark.createDataFrame(rows, "index long, term long")
-    out = lambda a, b: sorted(map(tuple, replog.reconciled(entry(a), entry(b)).collect()))
+    out = lambda a, b, *prev: sorted(map(tuple, replog.reconciled(entry(a), entry(b), *prev).collect()))
     local = [(1, 1), (2, 1), (3, 1)]
-    assert out(local, [(2, 1), (3, 2), (4, 2)]) == [(1, 1), (2, 1), (3, 2), (4, 2)]
-    assert out(local, [(4, 2)]) == [*local, (4, 2)]
-    assert out(local, [(2, 1)]) == local
-    assert out([], [(1, 1)]) == [(1, 1)]
+    assert out(local, [(2, 1), (3, 2), (4, 2)], 1, 1) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    assert out(local, [(4, 2)], 3, 1) == [*local, (4, 2)]
+    assert out(local, [(2, 1)], 1, 1) == local
+    assert out([], [(1, 1)], 0, 0) == [(1, 1)] and out(local, [], 3, 1) == local
+    # refused: an entry that isn't there, one of another term, entries with a gap or not at their place
+    assert out(local, [(10, 2)], 9, 1) == out(local, [(4, 2)], 3, 2) == out(local, [(9, 2), (10, 2)], 3, 1) == out(local, [(4, 2), (6, 2)], 3, 1) == local
+    commit = lambda b, prev, term, upto: tuple(replog.follower_commit(entry(local), entry(b), prev, term, upto, committed=2).first())
+    assert commit([(4, 2)], 3, 1, 9) == (True, 4, 4) and commit([(4, 2)], 3, 1, 1) == (True, 4, 2) and commit([(6, 2)], 5, 2, 9) == (False, 3, 2)
+
+
+def test_commit_counts_only_entries_that_agree_with_the_leader(spark):
+    entries = [("n1", i, 1 if i <= 5 else 2) for i in range(1, 11)] + [("n2", i, 1) for i in range(1, 9)] + [("n3", i, 1) for i in range(1, 4)]
+    log = spark.createDataFrame(entries, "node_id string, index long, term long")
+    assert {r["node_id"]: r["match_index"] for r in replog.match_indexes(log, "n1").collect()} == {"n1": 10, "n2": 5, "n3": 3}
+    assert replog.commit_index(log, "n1").first()[0] == 0  # a majority has 5, but of an older term
+    agreed = log.withColumn("term", F.when((F.col("node_id") == "n2") & F.col("index").isin(6, 7), 2).otherwise(F.col("term")))
+    assert replog.commit_index(agreed, "n1").first()[0] == 7 and replog.commit_index(agreed, "n1", n_nodes=5).first()[0] == 0
+    assert replog.commit_index(agreed, "n1", committed=9).first()[0] == 9
+    trace = {n: [(r["prev_index"], r["success"], r["match_index"]) for r in rows] for n, rows in ((n, replog.replication_trace(agreed, "n1").filter(f"node_id = '{n}'").orderBy("round").collect()) for n in ("n2", "n3"))}
+    assert trace["n2"] == [(10, False, 0), (9, False, 0), (8, False, 0), (7, True, 10)] and trace["n3"][-1] == (3, True, 10) and len(trace["n3"]) == 8
+    assert {tuple(r) for r in replog.took_office(log, "n1").collect()} == {("n2", 11, 0), ("n3", 11, 0)}
+
+
+def test_proposals_and_their_outcome(spark):
+    asked = spark.createDataFrame([(i, "n1" if i % 2 else "n2") for i in range(1, 601)] + [(601, "n9")], "proposal_no long, node_id string")
+    nodes = spark.createDataFrame([("n1", "LEADER"), ("n2", "FOLLOWER")], "node_id string, role string")
+    got = {r["proposal_no"]: r for r in replog.proposed(asked, nodes, 40).collect()}
+    assert len(got) == 601 and not got[2]["accepted"] and not got[601]["accepted"] and got[2]["index"] is None
+    assert [got[i]["index"] for i in (1, 3, 599)] == [41, 42, 340] and [got[i]["batch_no"] for i in (1, 255, 257, 599)] == [0, 0, 1, 2]
+    messages = spark.createDataFrame([("a", 1, 3), ("a", 2, 2), ("a", 5, 4), ("b", 1, 1)], "node_id string, msg_no long, term long")
+    assert [(r["current_term"], r["steps_down"]) for r in replog.step_downs(messages).filter("node_id = 'a'").orderBy("msg_no").collect()] == [(3, True), (3, False), (4, True)]
+    waiting = spark.createDataFrame([("a", 2, 9), ("a", 6, 10), ("a", 3, 1), ("c", 1, 9)], "node_id string, msg_no long, index long")
+    assert {(r["node_id"], r["msg_no"]): r["outcome"] for r in replog.settled(waiting, messages, 5).collect()} == {("a", 2): "failed", ("a", 6): "pending", ("a", 3): "committed", ("c", 1): "pending"}
+
+
+def test_reads_at_an_index(spark):
+    log = spark.createDataFrame([(1, "PUT", "k", 1.0), (3, "delete", "k", None), (5, "put", "k", 5.0), (2, "PUT", "x", 2.0), (4, "READ_BARRIER", "k", None)], "index long, cmd string, key string, v_double double")
+    reads = spark.createDataFrame([(i, "k", i) for i in range(7)] + [(10, "x", 1), (11, "x", 9), (12, "none", 9)], "read_no long, key string, at_index long")
+    got = {r["read_no"]: r["value"] for r in replog.values_at(reads, log).collect()}
+    assert got == {0: None, 1: 1.0, 2: 1.0, 3: None, 4: None, 5: 5.0, 6: 5.0, 10: None, 11: 2.0, 12: None}
+    asked = [(1, "k", "lease", True, True, False, 0), (2, "k", "lease", True, False, True, 0), (3, "k", "lease", True, False, False, 0), (4, "k", "read_index", False, True, True, 0), (5, "k", "barrier", True, True, True, 2), (6, "k", "barrier", True, True, True, 6)]
+    asked = spark.createDataFrame(asked, "read_no long, key string, read_mode string, is_leader boolean, in_lease boolean, confirmed boolean, barrier_index long")
+    got = {r["read_no"]: (r["served"], r["value"]) for r in replog.linearizable_reads(asked, log, spark.createDataFrame([(5,)], "commit_index long")).collect()}
+    assert got == {1: ("lease", 5.0), 2: ("read_index", 5.0), 3: ("error", None), 4: ("error", None), 5: ("barrier", 1.0), 6: ("error", None)}
+    assert spark.range(1).select(replog.lease_expiry(F.lit(1000), 150)).first()[0] == 1120
 
 
 def test_faults(spark):
@@ -90,8 +131,18 @@ def test_faults(spark):
     assert faults.faulty(trace, "baseline", blocked=(("n1", "n2"),)).filter("dropped").count() == 500
     late = faults.faulty(trace, "reorder")
     assert late.agg(F.min("delay_ms"), F.max("delay_ms")).first()[0] >= 5
+    assert faults.faulty(trace, "baseline", loss=2.0).filter("not dropped").count() == faults.faulty(trace, "packet_loss", loss=-1.0).filter("dropped").count() == 0
+    at = F.col("msg_id") % 100
+    for scenario, gone in (("leader_crash", at.between(30, 59)), ("split_brain", at.between(30, 59)), ("disk_fault", at.between(30, 59) & (F.col("dst") == "n2"))):
+        assert faults.faulty(trace, scenario).filter(F.col("dropped") != gone).count() == 0
+    assert faults.faulty(trace, "flapping").filter("dropped").count() == 10 * 4 * 3
+    assert faults.outages("correlated_crash", ("a", "b", "c", "d", "e"), "a") == [("b", faults.DOWN), ("c", faults.DOWN)]
     results = spark.createDataFrame([("a", True), ("b", False)], "scenario string, passed boolean")
-    assert "1 of 2 passed (50 %)" in faults.report(results)
+    checks = spark.createDataFrame([("k", "n1", "7", True), ("k", "n2", "OFFLINE", True)], "key string, node_id string, value string, consistent boolean")
+    text = faults.report(results, checks, spark.createDataFrame([("failover", 12.0, "ms")], "metric string, value double, unit string"))
+    assert "1 of 2 passed (50 %): violations found" in text and "| k | n1: 7, n2: OFFLINE | yes |" in text and "| failover | 12.00 | ms |" in text
+    runs_of = spark.createDataFrame([("w", 1, 9, 10, 3.0), ("w", 2, 10, 10, 0.0)], "workload string, run_no int, n_ok long, n_total long, service_ms double")
+    assert "| w | 19 | 20 | 95.00 % | 3.00 ms |" in metrics.benchmark_report(runs_of, "workload")
 
 
 def test_terms_timeouts_and_levels(spark):
