@@ -1,10 +1,10 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over distinct words.
 
-Texts are cut into segments (a run of white space and what follows it up to the next white space), which no match of
-the tokenizer's pattern crosses. A chunk of documents is encoded through its distinct segments: their distinct pattern
-matches, the words, are laid out in one array of symbols with links to both neighbours, and an inverted index leads
-from a merge's rank to the positions of its pair. Merges are applied in rank order, each at all its positions at once;
-only the touched neighbours' pairs are looked up again and enter the index.
+Texts are cut into segments, a blank or a run of white space and what follows it up to the next blank or white space,
+which no match of the tokenizer's pattern crosses. A chunk of documents is encoded through its distinct segments: their
+distinct pattern matches, the words, are laid out in one array of symbols with links to both neighbours, and an inverted
+index leads from a pair of tokens to its positions in the words. Merges are applied in rank order, each at all positions
+of its pairs at once; only the touched neighbours' pairs are looked up again and enter the index.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 
 #: White space as the pattern's \s has it: the property White_Space. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: White space before a blank: only then may a match of the pattern go on over the blank.
+WIDE = re.compile(f"[{SPACE}] ")
+#: Words that are one match of the pattern for sure: letters of the first 256 code points, after a blank or not.
+ONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 SEGMENT = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 NONE = np.int32(2**31 - 1)
 #: Fewer positions than this are merged one by one, which is quicker than array operations on them.
@@ -38,6 +43,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
+        self.digits = list(map(str, range(len(self.bytes))))
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
@@ -78,33 +84,37 @@ class Vocabulary:
         inner = np.flatnonzero(~last)
         rank[inner] = self.rank_of(symbol[inner], symbol[inner + 1])
         alive = np.ones(n, dtype=bool)
-        index: dict[int, list] = {}
+        index: dict[int, list] = {}  # pair of tokens -> positions, single ones and arrays of them
+        due: dict[int, list[int]] = {}  # rank -> its pairs in the index; more than one pair can make a token
+        waiting: list[int] = []
+
+        def put(pair: int, r: int, found) -> None:
+            if pair not in index:
+                index[pair] = []
+                if r not in due:
+                    due[r] = []
+                    heapq.heappush(waiting, r)
+                due[r].append(pair)
+            index[pair].append(found)
 
         def enter(at: np.ndarray) -> None:
             """Put the pairs at these positions into the index."""
             at = at[rank[at] != NONE]
+            pairs = symbol[at].astype(np.int64) << 32 | symbol[following[at]]
             if len(at) < FEW:
-                for p in at.tolist():
-                    r = int(rank[p])
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(waiting, r)
-                    index[r].append(p)
+                for pair, p in zip(pairs.tolist(), at.tolist(), strict=True):
+                    put(pair, int(rank[p]), p)
                 return
-            at = at[np.argsort(rank[at], kind="stable")]
-            ranks = rank[at]
-            cuts = np.flatnonzero(np.diff(ranks)) + 1
-            for r, part in zip(ranks[np.r_[0, cuts]].tolist(), np.split(at, cuts), strict=True):
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(waiting, r)
-                index[r].append(part)
+            order = np.argsort(pairs, kind="stable")
+            at, pairs = at[order], pairs[order]
+            first = np.r_[0, np.flatnonzero(np.diff(pairs)) + 1]
+            for pair, r, part in zip(pairs[first].tolist(), rank[at[first]].tolist(), np.split(at, first[1:]), strict=True):
+                put(pair, r, part)
 
-        waiting: list[int] = []
         enter(inner)
         while waiting:
             r = heapq.heappop(waiting)
-            found = index.pop(r)
+            found = [x for pair in due.pop(r) for x in index.pop(pair)]
             parts = [x for x in found if not isinstance(x, int)]
             single = [x for x in found if isinstance(x, int)]
             at = np.unique(np.concatenate([*parts, np.array(single, dtype=np.int64)])) if parts else np.array(sorted(set(single)), dtype=np.int64)
@@ -140,30 +150,62 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class _Numbers(dict):
+    """Numbers of segments, given as they come; ``lead`` belongs to every segment and isn't in its key."""
+
+    def __init__(self, lead: str, fresh: list[str], known: int):
+        self.lead, self.fresh, self.known = lead, fresh, known
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.known + len(self.fresh)
+        self.fresh.append(self.lead + piece)
+        return n
+
+
 class Encoder:
     """Encodes chunks of texts; what it has found for a segment is kept for later chunks, up to ``most`` segments."""
 
-    def __init__(self, vocab: Vocabulary, most: int = 400_000):
-        self.vocab, self.most = vocab, most
-        self.number: dict[str, int] = {}
-        self.ids: list[array] = []
+    def __init__(self, vocab: Vocabulary, most: int = 400_000, with_ids: bool = True):
+        self.vocab, self.most, self.with_ids = vocab, most, with_ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.fresh: list[str] = []
+        self.spaced, self.plain = (_Numbers(lead, self.fresh, 0) for lead in (" ", ""))
+        self.ids: list[bytes] = []  # of each segment: its ids as 4 bytes each, how many, in digits, and decoded
+        self.sizes: list[int] = []
         self.digits: list[str] = []
+        self.decoded: list[bytes] = []
 
     def chunk(self, texts: list[str]) -> list[array]:
-        """The segments of each text, as numbers into ids and digits."""
-        if len(self.number) > self.most:
-            self.number, self.ids, self.digits = {}, [], []
-        number, known, docs = self.number, len(self.number), []
+        """The segments of each text, as numbers into ids, sizes, digits and decoded. Segments without a token have no
+        digits; they only come from empty texts and blanks at a text's ends."""
+        if len(self.sizes) > self.most:
+            self.clear()
+        docs = []
         for text in texts:
-            docs.append(array("i", [number.setdefault(s, len(number)) for s in SEGMENT.findall(text)]))
-        fresh = list(number)[known:]
+            if WIDE.search(text):
+                docs.append(array("i", map(self.plain.__getitem__, SEGMENT.findall(text))))
+                continue
+            first, *rest = text.split(" ")
+            doc = array("i", map(self.spaced.__getitem__, rest))
+            if first:
+                doc.insert(0, self.plain[first])
+            docs.append(doc)
         words: dict[bytes, int] = {}
-        parts = [[words.setdefault(m.encode(), len(words)) for m in self.vocab.pattern.findall(s)] for s in fresh]
+        match = self.vocab.pattern.findall
+        parts = [[words.setdefault(m.encode(), len(words)) for m in ([s] if ONE(s, s[0] == " ") else match(s))] for s in self.fresh]
         encoded = self.vocab.encode_words(list(words))
+        digits, known = self.vocab.digits, self.vocab.bytes
         for part in parts:
-            ids = array("i", [i for w in part for i in encoded[w]])
-            self.ids.append(ids)
-            self.digits.append(",".join(map(str, ids)))
+            ids = encoded[part[0]] if len(part) == 1 else [i for w in part for i in encoded[w]]
+            self.sizes.append(len(ids))
+            self.digits.append(",".join([digits[i] for i in ids]))
+            self.decoded.append(b"".join([known[i] for i in ids]))
+            if self.with_ids:
+                self.ids.append(array("i", ids).tobytes())
+        self.fresh.clear()
+        self.spaced.known = self.plain.known = len(self.sizes)
         return docs
 
 
@@ -194,20 +236,18 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(vocab_path)
-        encoder = Encoder(vocab)
+        encoder = Encoder(vocabulary(vocab_path), with_ids=with_ids)
         for rows in _chunks(batches, "text", chunk_chars):
             number, docs = rows["id"], encoder.chunk(rows["text"].tolist())
             del rows
-            ids, digits = encoder.ids, encoder.digits
-            plain = [b"".join(map(vocab.bytes.__getitem__, x)) for x in ids]
+            size, digits, decoded, ids = encoder.sizes.__getitem__, encoder.digits.__getitem__, encoder.decoded.__getitem__, encoder.ids
             for start in range(0, len(docs), 500):
                 out = []
                 for doc in docs[start : start + 500]:
-                    tokens = hashlib.sha256(",".join(map(digits.__getitem__, doc)).encode()).hexdigest()
-                    decoded = hashlib.sha256(b"".join(map(plain.__getitem__, doc))).hexdigest()
+                    tokens = hashlib.sha256(",".join(map(digits, doc)).encode()).hexdigest()
+                    bytes_ = hashlib.sha256(b"".join(map(decoded, doc))).hexdigest()
                     own = np.frombuffer(b"".join([ids[s] for s in doc]), dtype=np.int32) if with_ids else None
-                    out.append((sum(len(ids[s]) for s in doc), tokens, decoded, own))
+                    out.append((sum(map(size, doc)), tokens, bytes_, own))
                 frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
                 frame.insert(0, "id", number.iloc[start : start + 500].to_numpy())
                 yield frame if with_ids else frame.drop(columns="ids")

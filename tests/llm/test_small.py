@@ -117,7 +117,8 @@ def test_bpe_is_what_the_library_gives(library):
     encoder = bpe.Encoder(bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), most=50)
     for k in range(0, len(texts), 300):  # later chunks use, and then lose, what earlier ones found
         for text, doc in zip(texts[k : k + 300], encoder.chunk(texts[k : k + 300]), strict=True):
-            assert [t for s in doc for t in encoder.ids[s]] == library.encode_ordinary(text)
+            assert [t for s in doc for t in np.frombuffer(encoder.ids[s], dtype=np.int32).tolist()] == library.encode_ordinary(text)
+            assert ",".join(encoder.digits[s] for s in doc) == ",".join(map(str, library.encode_ordinary(text)))
 
 
 def test_bpe_of_documents(spark, library):
