@@ -18,13 +18,21 @@ def ranged(df: DataFrame, *order) -> DataFrame:
     return out.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
 
 
-def numbered(df: DataFrame, *order, out: str = "row_no") -> DataFrame:
-    """df with a global row number from 1 in the order given. What is broadcast has a row per partition."""
+def numbered(df: DataFrame, *order, out: str = "row_no", sums: dict[str, str] | None = None) -> DataFrame:
+    """df with a global row number from 1 in the order given, and for each of ``sums`` (new column: column) the sum over
+    all rows up to this one. What is broadcast has a row per partition."""
+    sums = sums or {}
     rows = ranged(df, *order)
-    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("_part", before.alias("_before"))
-    return rows.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_part", "_place", "_before")
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_of_{name}") for name, c in sums.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *(F.coalesce(F.sum(f"_of_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums)]
+    offsets = parts.select("_part", *before)
+    here = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({f"_here_{name}": F.sum(c).over(here) for name, c in sums.items()}) if sums else rows
+    placed = placed.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + F.col("_place") + 1).cast("long"))
+    for name in sums:
+        placed = placed.withColumn(name, F.col(f"_before_{name}") + F.col(f"_here_{name}"))
+    return placed.drop("_part", "_place", "_before", *(f"{x}_{name}" for name in sums for x in ("_before", "_here")))
 
 
 def as_of(probes: DataFrame, index: DataFrame, probe_key: str, index_key: str, carry: list[str]) -> DataFrame:

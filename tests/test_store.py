@@ -97,3 +97,83 @@ def test_streaming_flush_boundaries_agree_with_the_batch_fold(spark, tmp_path):
     q.awaitTermination()
     want = {r["seq"]: r["table_id"] for r in batch(log, 4, "shard").collect()}
     assert {r["seq"]: r["table_id"] for r in spark.sql("SELECT * FROM bounds").collect()} == want and max(want.values()) > 2
+
+
+def _mutations(spark, source, n, tag):
+    from pyspark.sql import functions as F
+
+    from palimpsest.schema import tagged
+
+    log = spark.range(n).select(F.concat(F.lit(tag), F.col("id") % 5).alias("key"), F.col("id").alias("seq"), F.lit(0).alias("op_index"), *tagged(v_long=F.col("id")))
+    log.coalesce(1).write.parquet(str(source))
+    return spark.readStream.schema(log.schema).parquet(str(source))
+
+
+def test_two_streams_and_a_restart_into_one_store(spark, tmp_path):
+    from palimpsest.streaming.ingest import into_store
+
+    s = KVStore(spark, f"file://{tmp_path}/db")
+    first, second = _mutations(spark, tmp_path / "a", 10, "a"), _mutations(spark, tmp_path / "b", 10, "b")
+    into_store(first, s, str(tmp_path / "cp-a")).awaitTermination()
+    into_store(second, s, str(tmp_path / "cp-b")).awaitTermination()
+    want = {f"{t}{i}": 5 + i for t in "ab" for i in range(5)}
+    assert {r["key"]: r["v_long"] for r in s.scan().collect()} == want
+    seq = s.manifest["seq"]
+    into_store(first, s, str(tmp_path / "cp-a")).awaitTermination()  # nothing new
+    assert s.manifest["seq"] == seq
+    (name, number), *_ = s.manifest["streams"].items()
+    assert s.write([("a0", -1)], stream=name, number=number) == seq and s.get("a0") == 5  # a batch that is run again
+    into_store(first, s, str(tmp_path / "cp-new")).awaitTermination()  # a new checkpoint is a stream of its own
+    assert len(s.manifest["streams"]) == 3 and s.manifest["seq"] == seq + 1
+
+
+def test_batch_names_are_never_forgotten(spark, tmp_path, monkeypatch):
+    from palimpsest.operators import store
+
+    monkeypatch.setattr(store, "BATCHES", 2)
+    s = KVStore(spark, f"file://{tmp_path}/db")
+    for k in range(4):
+        s.write([("k", k)], batch_id=f"b{k}")
+    again = KVStore(spark, f"file://{tmp_path}/db")
+    assert again.manifest["batch_files"] and again.write([("k", 100)], batch_id="b0") == again.write([("k", 100)], batch_id="b3") == 4 and again.get("k") == 3
+
+
+def test_rows_without_an_order_are_refused(spark, tmp_path):
+    from palimpsest.schema import tagged
+    from pyspark.sql import functions as F
+
+    s = KVStore(spark, f"file://{tmp_path}/db")
+    rows = spark.createDataFrame([("a", 1)], "key string, x long").select("key", *tagged(v_long=F.col("x")))
+    with pytest.raises(ValueError, match="op_index or seq"):
+        s.write(rows)
+    assert s.manifest["seq"] == 0
+
+
+def test_deletes_do_not_flush_unless_operations_count(spark, tmp_path):
+    s = KVStore(spark, f"file://{tmp_path}/a", flush_threshold=3)
+    s.write([(f"k{i}", None) for i in range(5)])
+    assert s.manifest["runs"] == [] and s.buffer_size() == 0
+    s.write([(f"v{i}", 1) for i in range(3)])
+    assert len(s.manifest["runs"]) == 1 and s.manifest["log"] == []
+    t = KVStore(spark, f"file://{tmp_path}/b", flush_threshold=3, most_operations=4)
+    t.write([(f"k{i}", None) for i in range(5)])
+    assert len(t.manifest["runs"]) == 1
+
+
+def test_levels_runs_blocks_and_counters(spark, tmp_path):
+    s = KVStore(spark, f"file://{tmp_path}/db", flush_threshold=100, target_entries=4)
+    for step in range(5):
+        s.write([(f"k{i:02d}", 100 * step + i) for i in range(step, step + 6)] + [("gone", None if step == 4 else step)])
+        s.flush()
+    levels = {r["level"] for r in s.manifest["runs"]}
+    assert levels == {0, 1} and s.counters()["compactions"] == 1 and s.counters()["merge_ms"] >= 1 and not s.counters()["writers_wait"]
+    assert s.get_from_level(0, "k05") == (True, 405) and s.get_from_level(1, "k05") == (True, 305) and s.get_from_level(1, "none") == (False, None)
+    assert s.get_from_level(0, "gone") == (True, None) and s.get("gone") is None and s.get_from_level(1, "k05", snapshot=1) == (False, None)
+    top = next(r for r in s.manifest["runs"] if r["level"] == 0)
+    assert s.get_from_run(top["table_id"], "k04") == (True, 404) and s.get_from_run(top["table_id"], "zzz") == (False, None) and s.get_from_run(top["table_id"], "k04", snapshot=1) == (False, None)
+    assert s.locate("k00").startswith("level 1") and s.locate("k04") == f"level 0 (sst_{top['table_id']:05d})"
+    assert sorted((r["level"], r["key"]) for r in s.runs(key="k04").filter("key = 'k04'").collect()) == [(0, "k04"), (1, "k04")]
+    keys = spark.createDataFrame([("k04",), ("a",)], "key string")
+    assert {r["key"]: r["file_offset"] for r in s.blocks(top["table_id"], keys).collect()} == {"k04": 0, "a": 0}
+    s.vacuum()
+    assert KVStore(spark, f"file://{tmp_path}/db").get("k05") == 405 and s.blocks(top["table_id"], keys).count() == 2
