@@ -7,6 +7,7 @@ penalises the squared change of the score, so that naming a group neither raises
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -83,12 +84,12 @@ class Model:
 def counterfactuals(text: str, place: int) -> list[tuple[list[str], list[str]]]:
     """Pairs of sentences, as their words: one of the text that names a group, and the same with another group named.
 
-    A text that names none gives the mention of a group against that of another one, and against none, so that every
-    term's weight is held down; ``place`` picks the terms.
+    A text that names none has a mention put into one of its sentences, against that of another group, and against none,
+    so that every term's weight is held down; ``place`` picks the terms and the sentence.
     """
     pairs = []
-    for sentence in SENTENCE.split(text.lower()):
-        words = WORD.findall(sentence)
+    sentences = [words for words in map(WORD.findall, SENTENCE.split(text.lower())) if words]
+    for words in sentences:
         if any(w in SWAPS for w in words):
             swap = lambda w: SWAPS[w][(SWAPS[w].index(w) + 1 + place % (len(SWAPS[w]) - 1)) % len(SWAPS[w])] if w in SWAPS else w
             pairs.append((words, [swap(w) for w in words]))
@@ -96,7 +97,8 @@ def counterfactuals(text: str, place: int) -> list[tuple[list[str], list[str]]]:
     if not pairs:
         line = IDENTITY_TERMS[place % len(IDENTITY_TERMS)]
         term = line[place // len(IDENTITY_TERMS) % len(line)]
-        pairs = [([term], [line[(line.index(term) + 1) % len(line)]]), ([term], [])]
+        words = sentences[place % len(sentences)] if sentences else []
+        pairs = [([*words, term], [*words, line[(line.index(term) + 1) % len(line)]]), ([*words, term], words)]
     return pairs
 
 
@@ -134,14 +136,15 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, n_features: int = 2000, penalty: float = 10.0, seed: int = 1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, n_features: int = 2000, penalty: float = 10.0, most_pairs: int = 8, seed: int = 1) -> Model:
     """Fit on at most most_toxic and most_clean labelled rows, drawn by a hash of their id.
 
     Rows that are held out (crc32 of the id modulo 3 is 1), labels that are null and ids without a document are left out;
     an id labelled twice counts as toxic if one label says so. Null texts count as empty. Without labelled documents,
-    or with one class only, the model is a constant. n_features: how many features, those that most set the toxic rows
-    of the sample apart, the model has. Of a sampled text, its first 8 counterfactual pairs count. Features are counted by aggregation; the driver holds the sample's rows as
-    numbers of such features only.
+    or with one class only, the model is a constant. n_features: how many features, those that most set the toxic and the
+    clean rows of the sample apart, the model has. most_pairs: how many counterfactual pairs of a sampled text count,
+    drawn by its id from those of all its sentences. Features are counted by aggregation; the driver holds the sample's
+    rows as numbers of such features only, n_features and the identity terms at most in a row or in a side of a pair.
     """
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     told = told.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -168,15 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log(a / (got[1] + 1 - a)) - F.log(b / (got[0] + 1 - b))
     spread = F.sqrt(1 / a + 1 / b)
     counted = sample.select("text", "y").mapInPandas(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = counted.filter("a >= 3").withColumn("z", odds / spread).filter("z > 3").orderBy(F.desc("z"), "f").limit(n_features)
+    best = counted.filter("a + b >= 3").withColumn("z", F.abs(odds / spread)).filter("z > 3").orderBy(F.desc("z"), "f").limit(n_features)
     terms = sorted({f for line in IDENTITY_TERMS for t in line for f in features(t)[:1]})
     names = sorted({r["f"] for r in best.select("f").collect()} | set(terms))
     number = {f: i for i, f in enumerate(names)}
 
+    def pairs_of(text: str, i: int) -> list[tuple[list[str], list[str]]]:
+        every = counterfactuals(text, i)
+        return every if len(every) <= most_pairs else [every[k] for k in sorted(random.Random(i).sample(range(len(every)), most_pairs))]
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = lambda words: sorted({number[f] for w in set(words) for f in features(w) if f in number})
         for batch in batches:
-            out = [(int(y), of(WORD.findall(t.lower())), [[of(p), of(q)] for p, q in counterfactuals(t, abs(int(i)))[:8]]) for i, t, y in zip(batch["id"], batch["text"], batch["y"], strict=True)]
+            out = [(int(y), of(WORD.findall(t.lower())), [[of(p), of(q)] for p, q in pairs_of(t, abs(int(i)))]) for i, t, y in zip(batch["id"], batch["text"], batch["y"], strict=True)]
             yield pd.DataFrame(out, columns=["y", "x", "pairs"])
 
     rows = [(r["y"], list(r["x"]), [(p[0], p[1]) for p in r["pairs"]]) for r in sample.orderBy("id", "text").mapInPandas(encode, "y int, x array<int>, pairs array<array<array<int>>>").collect()]

@@ -488,6 +488,37 @@ def test_toxicity_edges(spark):
     assert toxicity.train(docs(spark, [(i, "a", "s") for i in range(10)]), one).weights == {}
 
 
+def test_counterfactuals_come_from_the_whole_text():
+    text = "plain words here. " * 30 + "the women came. " * 3 + "a deaf man spoke."
+    pairs = toxicity.counterfactuals(text, 4)
+    assert len(pairs) == 8 and pairs[0][0] == ["the", "women", "came"] and pairs[-1] == (["a", "deaf", "man", "spoke"], ["a", "spoke"])
+    one = toxicity.counterfactuals("plain words here. and more.", 3)
+    assert one[1][1] in (["plain", "words", "here"], ["and", "more"]) and one[0][0][:-1] == one[0][1][:-1] == one[1][1] and one[0][0][-1] in toxicity.SWAPS
+    assert toxicity.counterfactuals("", 0)[1][1] == []
+
+
+def test_the_fit_minimises_what_it_says():
+    # at the minimum, no step along any weight or the bias makes the loss smaller
+    rng = random.Random(18)
+    rows = [(int(rng.random() < 0.4), sorted(rng.sample(range(6), 3)), [([0, 1], [2])] if rng.random() < 0.5 else []) for _ in range(60)]
+    penalty, l2 = 0.7, 1e-2
+    bias, w = toxicity.fit(rows, 6, {0: 1.0, 1: 2.0}, penalty, l2=l2, steps=4000, rate=0.02)
+    sample = np.array([[1.0, 2.0][y] for y, _, _ in rows])
+
+    def loss(b, w):
+        z = np.array([b + sum(w[f] for f in x) for _, x, _ in rows])
+        logs = [math.log1p(math.exp(-v if y else v)) for v, (y, _, _) in zip(z, rows, strict=True)]
+        pairs = [p for _, _, ps in rows for p in ps]
+        return (sample * logs).sum() / sample.sum() + l2 * (w**2).sum() + penalty * np.mean([(sum(w[f] for f in a) - sum(w[f] for f in b)) ** 2 for a, b in pairs])
+
+    best = loss(bias, w)
+    for k in range(7):
+        for step in (-0.02, 0.02):
+            near = w.copy()
+            near[k % 6] += step * (k < 6)
+            assert loss(bias + step * (k == 6), near) > best
+
+
 def test_held_out_rows_are_never_learned_from(spark):
     import zlib
 
