@@ -4,6 +4,9 @@ The token budget is cut into equal blocks of words. Sources get blocks by the hi
 targets, then every source's blocks go to its shards the same way, which gives each shard an integer quota. A shard
 lays its documents out in seeded order, a second time after the first, and takes the blocks of its quota from there.
 Only ids and sizes are ever shuffled or windowed: the text is read once, to count its words.
+
+Sources may be many, as hosts are, and one may hold most rows: whatever needs an order over all sources, or over all shards
+of one, is sorted by ranges, and a source is dealt into cells by its size.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ordered import numbered
 from palimpsest.scratch import stash
 
 #: Fixed values of the mix: weights by place of the source in code point order, the share of all words that the mix
@@ -18,6 +22,8 @@ from palimpsest.scratch import stash
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2
+#: Sources up to this many rows are broadcast; their number is counted first.
+MOST_BROADCAST = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,18 +39,16 @@ def targets(sources: DataFrame) -> DataFrame:
     by weight until none is above. That is the level L of a filling vessel: target = min(L * weight, cap), and L is found
     in one pass over the sources in the order in which they fill up.
     """
-    in_order, everything = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
-    filling = Window.orderBy("fills_at", "place")
     weights = F.array(*map(F.lit, WEIGHTS))
-    out = sources.withColumn("place", F.row_number().over(in_order))
-    out = out.withColumn("weight", F.element_at(weights, (F.col("place") - 1) % len(WEIGHTS) + 1))
-    out = out.withColumn("cap", F.col("source_size") * F.lit(float(MOST_TIMES)))
-    out = out.withColumn("budget", F.sum("source_size").over(everything) * F.lit(SHARE)).withColumn("fills_at", F.col("cap") / F.col("weight"))
-    full = F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("level_here", (F.col("budget") - full) / open_weight)
+    out = numbered(sources, F.col("source").asc_nulls_last(), out="place")
+    out = out.withColumn("weight", F.element_at(weights, ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int")))
+    out = out.withColumn("cap", F.col("source_size") * F.lit(float(MOST_TIMES))).withColumn("fills_at", F.col("cap") / F.col("weight"))
+    out = numbered(out, "fills_at", "place", out="_no", sums={"filled": "cap", "weighed": "weight"})
+    whole = out.agg((F.sum("source_size") * F.lit(SHARE)).alias("budget"), F.sum("weight").alias("all_weight"))
+    out = out.join(F.broadcast(whole))  # one row
+    out = out.withColumn("level_here", (F.col("budget") - F.col("filled") + F.col("cap")) / (F.col("all_weight") - F.col("weighed") + F.col("weight")))
     fits = F.when(F.col("level_here") <= F.col("fills_at"), F.struct("fills_at", "place", "level_here"))
-    out = out.withColumn("level", F.min(fits).over(everything)["level_here"])
+    out = out.join(F.broadcast(out.agg(F.min(fits)["level_here"].alias("level"))))  # one row
     target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap"))
     return out.withColumn("target", target).select("source", "source_size", "place", "target")
 
@@ -54,27 +58,35 @@ def sainte_lague(rows: DataFrame, group: list[str], order: list[str], share: str
 
     With n rows whose shares sum to T, the divisor that hands out N seats lies between T / (N + n/2 + 1) and
     T / (N - n/2 - 1). Seats that even the largest divisor gives are certain; only the seats between the two bounds,
-    about 2n in a group whatever N is, are listed and ranked. Ties go to the first row in ``order``.
+    about 2n in a group whatever N is, are listed and ranked. Ties go to the first row in ``order``. All groups are ranked
+    by one range sort, so that a group of any size is shared out.
     """
-    w = Window.partitionBy(*group)
-    total, n = F.sum(share).over(w), F.count(F.lit(1)).over(w)
+    def with_group(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, group) if group else left.join(F.broadcast(right))  # one row
+
+    total, n = F.col("_total"), F.col("_n")
+    bounds = with_group(rows, rows.groupBy(*group).agg(F.sum(share).alias("_total"), F.count(F.lit(1)).alias("_n")))
     spare = F.col(seats) - n / 2 - 1
     at = lambda divisor: F.floor(F.col(share) / divisor + 0.5)
-    bounds = rows.withColumn("_sure", F.when((spare > 0) & (total > 0), at(total / spare)).otherwise(F.lit(0)).cast("long"))
+    bounds = bounds.withColumn("_sure", F.when((spare > 0) & (total > 0), at(total / spare)).otherwise(F.lit(0)).cast("long"))
     bounds = bounds.withColumn("_most", F.when(total > 0, at(total / (F.col(seats) + n / 2 + 1)) + 1).otherwise(F.lit(0)).cast("long"))
-    bounds = bounds.withColumn("_left", F.col(seats) - F.sum("_sure").over(w))
-    listed = bounds.withColumn("_k", F.explode_outer(F.when(F.col("_most") > F.col("_sure"), F.sequence("_sure", F.col("_most") - 1))))
-    ranked = listed.withColumn("_rank", F.row_number().over(w.orderBy((F.col(share) / (2 * F.col("_k") + 1)).desc_nulls_last(), *order)))
-    got = F.coalesce(F.sum(F.when(F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_left")), 1).otherwise(0)), F.lit(0))
+    bounds = stash(bounds, "seat-bounds")
+    listed = bounds.withColumn("_k", F.explode(F.when(F.col("_most") > F.col("_sure"), F.sequence("_sure", F.col("_most") - 1))))
+    ranked = numbered(listed, *group, (F.col(share) / (2 * F.col("_k") + 1)).desc_nulls_last(), *order, out="_no")
+    first = with_group(
+        ranked.groupBy(*group).agg(F.min("_no").alias("_first")), bounds.groupBy(*group).agg((F.max(seats) - F.sum("_sure")).alias("_left"))
+    )
+    won = with_group(ranked, first).filter(F.col("_no") - F.col("_first") < F.col("_left"))
     keys = rows.columns
-    return ranked.groupBy(*keys, "_sure").agg(got.alias("_got")).select(*keys, (F.col("_sure") + F.col("_got")).cast("long").alias(out))
+    seated = bounds.select(*keys, F.col("_sure").alias("_seats")).unionByName(won.select(*keys, F.lit(1).cast("long").alias("_seats")))
+    return seated.groupBy(*keys).agg(F.sum("_seats").cast("long").alias(out))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 16, shard_words: int = 1 << 20, cells: int = 256, seed: int = 20) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 16, shard_words: int = 1 << 20, cell_words: int = 1 << 16, seed: int = 20) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken.
 
-    block_words: words in a block. shard_words: words of quota that a shard has about. cells: parts that a source is
-    dealt into, whose groups are its shards; a source that holds most rows is still worked on in so many tasks.
+    block_words: words in a block. shard_words: words of quota that a shard has about. cell_words: words of the parts that
+    a source is dealt into, whose groups are its shards: a source that holds most rows has that many more parts.
     A null text has size 0 and is taken 0 times; null sources form one source, placed last. Rows that repeat an id are
     placed next to each other; rows that agree in id, source and size are interchangeable. A null id is an id like any
     other. If all texts are empty, targets are 0. An empty table gives an empty result. Other columns are not read.
@@ -83,18 +95,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     base = base.withColumns(
         {
             "k": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),  # joins and windows need no null-safe key
-            "cell": F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(cells)).cast("int"),
+            "spot": F.xxhash64(F.lit(seed), F.col("id")),
             "turn": F.xxhash64(F.lit(seed + 1), F.col("id")),
         }
     )
     base = stash(base, "mix-sizes")
-    cell = base.groupBy("k", "source", "cell").agg(F.sum("size").alias("cell_size"))
-    goal = targets(cell.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
-    goal = goal.withColumn("_all", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
+    goal = stash(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    goal = goal.join(F.broadcast(goal.agg(F.round(F.sum("target") / block_words).cast("long").alias("_all"))))  # one row
     quota = sainte_lague(goal, [], ["place"], "target", "_all", "blocks")
-    n_shards = F.greatest(F.lit(1), F.least(F.lit(cells), F.floor(F.col("blocks") * block_words / shard_words))).cast("int")
-    quota = quota.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).select("k", "place", "source_size", "target", "blocks", n_shards.alias("n_shards"))
-    cell = cell.select("k", "cell", "cell_size").join(quota, "k").withColumn("shard", F.col("cell") % F.col("n_shards"))
+    n_cells = F.greatest(F.lit(1), F.ceil(F.col("source_size") / cell_words)).cast("int")
+    n_shards = F.greatest(F.lit(1), F.least(n_cells, F.floor(F.col("blocks") * block_words / shard_words))).cast("int")
+    quota = quota.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    quota = stash(quota.select("k", "place", "source_size", "target", "blocks", n_cells.alias("n_cells"), n_shards.alias("n_shards")), "mix-quota")
+    of_source = F.broadcast(quota) if quota.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else quota
+    base = base.join(of_source.select("k", "n_cells"), "k").withColumn("cell", F.pmod("spot", "n_cells").cast("int"))
+    cell = base.groupBy("k", "cell").agg(F.sum("size").alias("cell_size")).join(of_source, "k").withColumn("shard", F.col("cell") % F.col("n_shards"))
+    cell = stash(cell, "mix-cells")
     shard = cell.groupBy("place", "shard", "blocks").agg(F.sum("cell_size").alias("shard_size"))
     shard = sainte_lague(shard, ["place"], ["shard"], "shard_size", "blocks", "shard_blocks").drop("blocks")
     in_shard = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("cell")), "cell")

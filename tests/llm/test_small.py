@@ -212,8 +212,8 @@ def test_mix(spark):
     sizes, by_source = {i: len(WORD.findall(t or "")) for i, t, _ in rows}, defaultdict(int)
     for i, _, s in rows:
         by_source[s] += sizes[i]
-    out = mixing.mix(docs(spark, rows), cells=8, shard_words=4000).collect()
-    again = mixing.mix(docs(spark, rows).repartition(7), cells=8, shard_words=4000).collect()
+    out = mixing.mix(docs(spark, rows), cell_words=2000, shard_words=4000).collect()
+    again = mixing.mix(docs(spark, rows).repartition(7), cell_words=2000, shard_words=4000).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     target, source, taken = brute_targets(by_source), {i: s for i, _, s in rows}, defaultdict(int)
     assert len(out) == len(rows)
@@ -229,6 +229,19 @@ def test_mix(spark):
     assert len(mixing.mix(docs(spark, [(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).collect()) == 3
 
 
+def test_mix_of_many_sources(spark):
+    rng = random.Random(19)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 30))), f"host{rng.randrange(300)}") for i in range(900)]
+    by_source, taken = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        by_source[s] += len(WORD.findall(t))
+    source, target = {i: s for i, _, s in rows}, brute_targets(by_source)
+    for r in mixing.mix(docs(spark, rows), block_words=1).collect():
+        assert math.isclose(r["target"], target[source[r["doc_id"]]], abs_tol=1e-6)
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items()) and sum(taken.values()) == round(sum(target.values()))
+
+
 def test_mix_is_native(spark):
     plan = mixing.mix(docs(spark, [(1, "a", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
