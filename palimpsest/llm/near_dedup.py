@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import range_hashes, scramble, window_hashes, word_hashes
@@ -34,7 +34,7 @@ SHINGLE = 5
 BANDS, ROWS = 22, 5
 #: Words of 64 bits of an odd sketch.
 SKETCH = 16
-#: Members of a bucket in one block, when the pairs that are left are met.
+#: Members of a bucket in one part, when its first classes are picked, and in one block, when the pairs that are left are met.
 BLOCK = 256
 _SHINGLE = np.uint64(0x8EBC6AF09C88C6E3)
 _STEP, _REGISTER, _BAND, _BIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -160,12 +160,13 @@ def _far_pairs(members: DataFrame, classes: DataFrame, sketches: DataFrame, coul
     The members outside a bucket's largest class meet all its members. Both sides are dealt into blocks of about BLOCK
     members, and each pair of blocks is a key of the join, so that a large bucket is shared out.
     """
-    placed = members.join(classes, "node").select("bucket", "class", "node", "n")
-    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    placed = members.join(classes, "node").select("bucket", "part", "parts", "class", "node", "n")
+    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"), F.first("parts").alias("parts"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes"), F.first("parts").alias("parts")).filter("classes > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = sizes.select("bucket", F.col("most.class").alias("largest"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.m")).alias("of_few"))
-    placed = stash(placed.join(sizes, "bucket").join(sketches, "node"), "left-over")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    sizes = sizes.select("bucket", part, F.col("most.class").alias("largest"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("most.m")).alias("of_few"))
+    placed = stash(placed.drop("parts").join(sizes, ["bucket", "part"]).join(sketches, "node"), "left-over")
     own = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     few = placed.filter("class <> largest").select("bucket", "node", "n", "class", "sketch", own(F.col("of_few")).alias("one"), every(F.col("of_all")).alias("two"))
@@ -174,18 +175,24 @@ def _far_pairs(members: DataFrame, classes: DataFrame, sketches: DataFrame, coul
     return met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id of a row, and for a null id one from 2 ** 62 on by a hash of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = (4, 5), bands: int = BANDS, rows: int = ROWS, chars: int = 4_000_000) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), kept (id = class_id) and n_shingles.
 
     Two documents are linked if their sets of shingles have a Jaccard similarity of similarity[0] / similarity[1] or
     more; classes are the connected components of the links. Shingles are ``size`` words as they stand, a shorter text is
     one shingle; texts without words (null, empty, blank) are alike and make one class. Shingles weigh 1 in one signature
-    and 1 + ln(times) in the other, of ``bands`` bands each. Rows that share an id are one document. A null id is replaced by 2 ** 62 or more, from a hash of the
-    text, as node and as class_id; kept is then true for the class's smallest node. Other columns are not read. An empty table gives an
-    empty result.
+    and 1 + ln(times) in the other, of ``bands`` bands each. Rows that share an id are one document. A null id
+    is replaced by row_key() as node and as class_id; kept is then true for the class's smallest node. Other columns are
+    not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))).alias("id"), text.alias("text"), F.col(id_col).isNotNull().alias("named"))
+    docs = df.select(row_key(id_col, text_col).alias("id"), text.alias("text"), F.col(id_col).isNotNull().alias("named"))
     signed = docs.mapInPandas(_signatures(bands, rows, size, chars), "id long, named boolean, n int, k1 long, k2 long, bands array<long>, sketch array<long>")
     signed = stash(signed, "signatures")
     same = ["k1", "k2", "n"]
@@ -196,7 +203,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stash(members.join(shared, "bucket"), "members")
     # a text that others were made from shares most buckets with most of them: such nodes are met first
     crowd = members.groupBy("node").agg(F.sum("m").alias("crowd"))
-    members = stash(members.select("node", "n", "bucket").join(crowd, "node"), "crowded")
+    # a bucket's members lie in parts of about BLOCK, and what the bucket has in common is joined with each of its parts
+    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    shared_only, members = members, stash(members.select("node", "n", "bucket", parts.alias("parts"), part.alias("part")).join(crowd, "node"), "crowded")
+    drop_stash(shared_only)
     sketches = nodes.select("node", "sketch")
     wanted = stash(members.select(F.col("node").alias("id")).distinct(), "wanted")
     of_text = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingles(t, size)).view(np.int64)), "array<long>")
@@ -221,21 +232,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = components(links)
         return stash(wanted.withColumnRenamed("id", "node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "classes")
 
+    def in_parts(of_buckets: DataFrame) -> DataFrame:
+        return of_buckets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
     while True:
-        heads = members.join(classes, "node").groupBy("bucket", "class").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "n")).alias("h"))
-        bucket = Window.partitionBy("bucket")
-        heads = heads.withColumns({"classes": F.count(F.lit(1)).over(bucket), "place": F.row_number().over(bucket.orderBy(F.desc("h")))})
-        heads = heads.filter(f"classes > 1 and place <= {hubs}").select("bucket", "classes", F.col("class").alias("its"), (-F.col("h.first")).alias("head"), F.col("h.n").alias("size"))
+        heads = members.join(classes, "node").groupBy("bucket", "class").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "n")).alias("h"), F.first("parts").alias("parts"))
+        several = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+        # the first of a large bucket are picked from the first of its parts, so that no task has to sort all its classes
+        for within in (Window.partitionBy("bucket", F.pmod(F.xxhash64("class"), F.col("parts"))), Window.partitionBy("bucket")):
+            heads = heads.withColumn("place", F.row_number().over(within.orderBy(F.desc("h")))).filter(f"place <= {hubs}").drop("place")
+        heads = heads.join(several, "bucket").select("bucket", "parts", "classes", F.col("class").alias("its"), (-F.col("h.first")).alias("head"), F.col("h.n").alias("size"))
         heads = stash(heads.join(sketches.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head"), "heads")
         # a bucket that is down to one class has no more to tell
-        members = stash(members.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "members")
-        placed = members.join(classes, "node").join(sketches, "node")
-        met = placed.join(heads, (placed["bucket"] == heads["bucket"]) & (F.col("class") != F.col("its")) & fits & near)
+        fewer = stash(members.join(in_parts(heads.select("bucket", "parts").distinct()), ["bucket", "part"], "left_semi"), "members")
+        drop_stash(members)
+        members = fewer
+        placed = members.drop("parts").join(classes, "node").join(sketches, "node")
+        met = placed.join(in_parts(heads), ["bucket", "part"]).filter((F.col("class") != F.col("its")) & fits & near)
         pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         complete = heads.filter(f"classes > {hubs}").isEmpty()
+        drop_stash(heads)
         if pairs.isEmpty():
             if complete:
                 break
@@ -245,7 +264,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         good = linked(pairs)
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
-            classes = joined(links)
+            merged = joined(links)
+            for old in (classes, good):
+                drop_stash(old)
+            classes = merged
             links = classes.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
         elif complete:
             break
