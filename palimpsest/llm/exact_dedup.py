@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.scratch import stash
+from palimpsest.scratch import drop_stash, stash
 
 
 def radix_exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = 256, growth: int = 4) -> DataFrame:
@@ -44,6 +44,7 @@ def radix_exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ),
             f"radix{len(finished)}",
         )
+        drop_stash(groups)
         finished.append(level.filter("g is null").select("id", "keep_id", "group_size", "sha"))
         active = level.filter("g is not null").select("id", "sha", "g", "b")
         offset, width = offset + width, width * growth

@@ -165,5 +165,16 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return _dedup(docs, "doc_id", "text", WINDOW, SEED, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+        w AS (SELECT doc_id, unnest(list_transform(range(1, len(a) - {WINDOW - 2}), lambda s: {{'s': s, 'k': array_to_string(a[s:s + {WINDOW - 1}], ' ')}})) AS u
+              FROM d WHERE len(a) >= {WINDOW}),
+        k AS (SELECT doc_id, u.s AS s, row_number() OVER (PARTITION BY u.k ORDER BY doc_id, u.s) AS n FROM w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WINDOW})) AS i FROM k WHERE n > 1),
+        word AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, len(a)::BIGINT AS n_words, (len(a) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+}
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
