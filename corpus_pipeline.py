@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, line_dedup, mixing, near_dedup, toxicity
-from palimpsest.scratch import stash
+from palimpsest.scratch import drop_stash, stash
 
 
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,9 +33,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates; rows that share an id stay together."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """The document with the smallest id of each class of near-duplicates; rows that share an id stay together, and rows
+    without one are told apart by their texts."""
+    keyed = docs.withColumn("_key", near_dedup.row_key())
+    kept = near_dedup.near_duplicates(keyed, id_col="_key").filter("kept").select(F.col("_key").alias("_kept")).distinct()
+    return keyed.join(kept.hint("shuffle_hash"), F.col("_key") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stash(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stash(stage(spark, docs, sf_dir), f"stage{k}")
+        drop_stash(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
