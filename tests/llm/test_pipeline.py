@@ -82,10 +82,19 @@ def test_run_is_all_stages(spark, steps):
 
 def test_edges(spark):
     rows = [(1, None, None), (2, "", "a"), (3, "word " * 3000, "a"), (4, "same text of some few words here", "b"), (4, "same text of some few words here", "b"), (5, "same text of some few words here", None), (None, "no id at all but words enough", "c")]
-    for source in (docs(spark, rows), docs(spark, [])):
+    # of the rows without words none is taken by the mix, 4, 4 and 5 are near-duplicates whose smallest id stays, and of
+    # two rows without an id, which are near-duplicates, one stays
+    rows.append((None, "no id at all but words enough", "c"))
+    for source, want in ((docs(spark, rows), [None, None, 3, 4, 4]), (docs(spark, []), [])):
         now = source
         for _, stage in corpus_pipeline.STAGES:
             now = stash(stage(spark, now, SF), "test-edge")
         assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-        # of the rows without words none is taken by the mix; 4, 4 and 5 are near-duplicates whose smallest id stays
-        assert {r["doc_id"] for r in now.collect()} <= {3, 4, None}
+        assert sorted((r["doc_id"] for r in now.collect()), key=lambda i: (i is not None, i)) == want
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, "a"), (None, text + " more", "a"), (None, "another text of eight words in all here", "b"), (7, text + " more", "a")]
+    left = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SF).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in left) == [(False, text + " more"), (True, rows[2][1])]
