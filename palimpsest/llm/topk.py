@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from palimpsest.scratch import stash
 
 SCALE = 64
+#: Candidates of a block that are scored at once.
+TILE = 2048
 EXACT = 2.0**53
 LONGEST = 2**63 - 1
 
@@ -55,12 +57,13 @@ def _grid(row, side: str) -> np.ndarray:
     return np.frombuffer(getattr(row, f"{side}grid"), dtype=kind).reshape(getattr(row, f"{side}n"), -1)
 
 
-def _scores(row) -> tuple[np.ndarray, np.ndarray]:
-    """Integer inner products of a pair of blocks (a query's own row is marked) and the candidates' ids."""
-    q, c = _grid(row, "q_"), _grid(row, "c_")
+def _scores(row, tile: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Integer inner products of a block of queries and a tile of one of candidates (a query's own row is marked), and the
+    candidates' ids."""
+    q, c = _grid(row, "q_"), _grid(row, "c_")[tile]
     dim = min(q.shape[1], c.shape[1])
     q, c = q[:, :dim], c[:, :dim]
-    ids = np.frombuffer(row.c_ids, dtype=np.int64)
+    ids = np.frombuffer(row.c_ids, dtype=np.int64)[tile]
     own = np.frombuffer(row.q_ids, dtype=np.int64)[:, None] == ids[None, :]
     if row.q_most * row.c_most * dim < EXACT:
         return np.where(own, -LONGEST - 1, (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)), ids
@@ -74,7 +77,8 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _over_pairs(queries: DataFrame, candidates: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """f over every pair of a query block (with its state) and a candidate block; queries go to each candidate block."""
+    """f over every pair of a query block (with its state) and a tile of a candidate block. Queries go to each candidate
+    block, so what is moved falls with the blocks' size, while what a task holds is a pair of blocks and a tile's scores."""
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
     c = candidates.select(*(F.col(c).alias(f"c_{c}") for c in candidates.columns))
     numbers = candidates.agg(F.collect_set("block").alias("all"))  # one number per some thousand rows
@@ -83,25 +87,29 @@ def _over_pairs(queries: DataFrame, candidates: DataFrame, f: Callable, schema:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                out = f(row)
-                for start in range(0, len(out), 50_000):
-                    yield out.iloc[start : start + 50_000]
+                for first in range(0, row.c_n, TILE):
+                    out = f(row, slice(first, first + TILE))
+                    for start in range(0, len(out), 50_000):
+                        yield out.iloc[start : start + 50_000]
 
     return q.join(c, "c_block").mapInPandas(run, schema)
 
 
-def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, block_rows: int = 2048, query_rows: int = 512, bins: int = 1024) -> DataFrame:
+def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, block_rows: int | None = None, query_rows: int = 1024, bins: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows but those with the query's own id. If
     there are fewer than k candidates all are returned, so a table of one row gives none. Vectors that are null or hold
     null or non-finite components, and rows without an id, take no part; a shorter vector counts as padded with zeros,
     an empty one scores 0. Components may be of any size; a score that no long holds raises OverflowError. Rows that
-    repeat an id are candidates each, and queries each. Other columns are not read.
+    repeat an id are candidates each, and queries each. Other columns are not read. block_rows: candidates of a block;
+    by default a 64th of the table, from TILE to 8 TILEs.
     """
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     good = df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    if block_rows is None:
+        block_rows = min(8 * TILE, max(TILE, good.count() // 64))
     candidates = _packed(good, block_rows, "candidates")
     queries = _packed(good.filter(F.col("id") % every == 0), query_rows, "queries")
     most, dim = candidates.agg(F.max("most"), F.max("dim")).first()
@@ -119,8 +127,8 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             packed = current.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "need", "open"))).alias("state"))
             return queries.join(packed, "block")
 
-        def count(row, span: int = span, width: int = width) -> pd.DataFrame:
-            scores, _ = _scores(row)
+        def count(row, tile: slice, span: int = span, width: int = width) -> pd.DataFrame:
+            scores, _ = _scores(row, tile)
             lo = np.array([s["lo"] for s in row.q_state], dtype=np.int64)[:, None]
             live = np.array([s["open"] for s in row.q_state])[:, None]
             above = scores >= lo
@@ -128,7 +136,7 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 off = (scores - lo).view(np.uint64)
             inside = live & above & (off <= np.uint64(span - 1)) & (scores > np.iinfo(np.int64).min)
             bin_of = np.where(inside, (off // np.uint64(width)).astype(np.int64), -1)
-            n = min(k, bin_of.shape[1])  # a block's bins below its own k-th score can't hold the k-th of all
+            n = min(k, bin_of.shape[1])  # a tile's bins below its own k-th score can't hold the k-th of all
             least = np.partition(bin_of, bin_of.shape[1] - n, axis=1)[:, bin_of.shape[1] - n][:, None]
             at, c = np.nonzero((bin_of >= least) & (bin_of >= 0))
             found, counts = np.unique(at * bins + bin_of[at, c], return_counts=True)
@@ -153,8 +161,8 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         span, width = width, -(-width // bins)
     current = state
 
-    def take(row) -> pd.DataFrame:
-        scores, ids = _scores(row)
+    def take(row, tile: slice) -> pd.DataFrame:
+        scores, ids = _scores(row, tile)
         lo = np.array([s["lo"] for s in row.q_state], dtype=np.int64)[:, None]
         need = np.array([s["need"] if s["open"] else len(ids) for s in row.q_state], dtype=np.int64)
         own = scores == np.iinfo(np.int64).min

@@ -427,13 +427,14 @@ def brute_top(rows, k=20, every=20):
     return sorted(out)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 420)]  # ties
     rows += [(500, None), (520, [1.0, None]), (540, [float("nan")] * 8), (560, [float("inf")] * 8), (None, [1.0] * 8), (580, []), (600, [0.25, 0.5])]
     df = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], "vec_id long, embedding array<float>, label int, score string").repartition(3)
-    for options in ({}, {"bins": 4, "block_rows": 50, "query_rows": 7}):
+    for options, tile in (({}, 2048), ({"bins": 4, "block_rows": 50, "query_rows": 7}, 2048), ({"block_rows": 130}, 48)):
+        monkeypatch.setattr(topk, "TILE", tile)
         got = sorted(tuple(r) for r in topk.exact_top_k(df, **options).collect())
         assert got == brute_top(rows)
 
